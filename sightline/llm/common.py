@@ -84,7 +84,7 @@ def sliced(batches: Iterable[pa.RecordBatch], col: str, limit: int = 12 << 20) -
 def words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts in order, and where each text's words begin (one more entry than texts). A null text has none."""
     t = pc.fill_null(text.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(t) if lower else t)
+    lists = pc.ascii_split_whitespace(t)
     flat = lists.flatten()
     per = lists.offsets.to_numpy().astype(np.int64)
     per = per - per[0]
@@ -92,7 +92,7 @@ def words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     if not full.all():
         flat = flat.filter(pa.array(full))
         per = np.concatenate([[0], np.cumsum(full)])[per]
-    return flat, per
+    return (pc.ascii_lower(flat) if lower else flat), per  # lower case last: ascii_lower mishandles slices of large strings
 
 
 def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
