@@ -1 +1 @@
-
+"""Whole runs, reports and the catalogue of queries."""

@@ -1 +1 @@
-
+"""Readers, sinks and derived inputs."""
