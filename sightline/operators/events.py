@@ -24,7 +24,7 @@ def _weight():
 def gaze_events(attributions: DataFrame, least: float = 0.2, gap: float = 0.3) -> DataFrame:
     """Attributions of each viewer merged into events; short ones go afterwards, and their neighbours stay apart."""
     by = ["recording_id", "viewer_id"]
-    rows = islands(attributions, by, "target", gap, ["end_time", "reason", "confidence"]).withColumn("_w", _weight())
+    rows = islands(attributions, by, "target", gap, ["end_time", "reason", "confidence", "target"]).withColumn("_w", _weight())
     reasons = rows.groupBy(*by, "island", "reason").agg(
         F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("confidence")).alias("wc"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.first("target").alias("target"), F.min("_pos").alias("pos"), F.min_by("layout_source", "_pos").alias("layout_source")
     )

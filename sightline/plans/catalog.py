@@ -58,7 +58,7 @@ PARTS = {
         case when n <> 1 then sure else sure * ratio end as confidence,
         case when n = 0 then 'no region' when n > 1 then 'ambiguous overlap' when sure * ratio < 0.15e0 then concat('near border: ', t) when t = viewer_id then 'self' else 'center hit' end as reason,
         case when n = 1 then ratio end as margin_ratio from counted""",
-    "changes": "select *, case when target = lag(target) over w then 0 else 1 end as c, row_number() over w as pos from attributions window w as (partition by recording_id, viewer_id order by start_time, end_time, reason, confidence)",
+    "changes": "select *, case when target = lag(target) over w then 0 else 1 end as c, row_number() over w as pos from attributions window w as (partition by recording_id, viewer_id order by start_time, end_time, reason, confidence, target)",
     "runs": "select *, sum(c) over (partition by recording_id, viewer_id order by pos) as run from changes",
     "splits": "select *, case when start_time - max(end_time) over (partition by recording_id, viewer_id, run order by pos rows between unbounded preceding and 1 preceding) > 0.3e0 then 1 else 0 end as sp from runs",
     "islands": "select *, sum(sp) over (partition by recording_id, viewer_id, run order by pos) as isl, greatest(end_time - start_time, 1e-9) as wt from splits",

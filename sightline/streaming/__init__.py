@@ -1 +1 @@
-
+"""The ordered operators over unbounded input."""
