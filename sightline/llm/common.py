@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # large arrays go back to the system when they are freed, so that a worker which lives on holds no more than it uses
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+except (OSError, AttributeError):  # not glibc
+    pass
+
 #: White space that separates words: space, and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,17 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def modest(spark: SparkSession) -> None:
+    """Rows sent to Python at once: texts can be long, so fewer than Spark's default, unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1500")
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and outlive a lost executor."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at, self.n = spark, shared_dir(spark), 0
+        modest(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and reads it again."""
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        # once the table is written its shuffles have no more readers; Spark then deletes their files
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, "false")
+        self.spark.conf.set(name, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -68,7 +89,7 @@ def bucket(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % n
 
 
-def sliced(batches: Iterable[pa.RecordBatch], col: str, limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], col: str, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a text column has at most limit bytes in each, but for a single longer text."""
     for b in batches:
         if not b.num_rows:
@@ -78,6 +99,7 @@ def sliced(batches: Iterable[pa.RecordBatch], col: str, limit: int = 12 << 20) -
         while start < b.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, total + limit, "right")))
             yield b.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()
             start, total = stop, int(ends[stop - 1])
 
 
@@ -148,34 +170,35 @@ def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         yield pa.concat_batches(held)
 
 
-def split_by_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where the parts of sorted 64-bit hashes begin (one more than parts); a part is a range of hashes."""
-    edge = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+def split_by_part(keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
+    """Where the parts of sorted hashes begin (one more than parts); a part is a range of hashes."""
+    edge = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
 
 
-def summed_in_parts(rows: DataFrame) -> DataFrame:
-    """block, part, keys (sorted uint64), n (uint32 for each key) -> block, part, total and place (uint32 for each key).
+def summed_in_parts(rows: DataFrame, ranked: bool = True) -> DataFrame:
+    """block, part, keys (packed differences of sorted keys), n (packed, for each key) -> block, part, total and place (packed, for each key).
 
     total is a key's sum over all blocks, place its rank in its part by falling total. A block has a key once at most, so no key is
     more than one entry for each block. One more row for each part, of a null block, has in total how many keys have sums 0 to 15
-    and in place the sum (both uint64).
+    and in place the sum.
     """
 
     def add(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
-        n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("n")])
+        pa.default_memory_pool().release_unused()
+        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
+        n = np.concatenate([unpack(x.as_py()) for x in t.column("n")])
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
         u, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
-        rank = np.empty(len(u), np.uint32)
-        rank[np.argsort(-total, kind="stable")] = np.arange(len(u), dtype=np.uint32)
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        sums = np.split(np.minimum(total, 2**32 - 1).astype(np.uint32)[at], cuts)
-        places = np.split(rank[at], cuts)
-        facts = np.bincount(np.minimum(total, 16), minlength=17).astype(np.uint64)
+        rank = np.zeros(len(u), np.int64)
+        if ranked:
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(u))
+        facts = np.bincount(np.minimum(total, 16), minlength=17)
+        totals, places = ([pack(x) for x in np.split(y[at], cuts)] for y in (total, rank))
         return pa.table({
             "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "part": pa.array([*t.column("part").to_pylist(), t.column("part")[0].as_py()], pa.int32()),
-            "total": pa.array([*(x.tobytes() for x in sums), facts.tobytes()], pa.binary()), "place": pa.array([*(x.tobytes() for x in places), np.array([total.sum()], np.uint64).tobytes()], pa.binary()),
+            "total": pa.array([*totals, pack(facts)], pa.binary()), "place": pa.array([*places, pack(np.array([total.sum()]))], pa.binary()),
         })
 
     return rows.groupBy("part").applyInArrow(add, "block long, part int, total binary, place binary")
@@ -201,3 +224,13 @@ def unpack(data: bytes) -> np.ndarray:
     out = np.zeros((raw.shape[1], 8), np.uint8)
     out[:, :n] = raw.T
     return out.view(np.uint64).ravel()
+
+
+def asked(block: int, keys: np.ndarray, n: np.ndarray, parts: int, bits: int = 64) -> pa.RecordBatch:
+    """A block's sorted keys and counts as rows for summed_in_parts."""
+    cut = split_by_part(keys, parts, bits)
+    full = np.flatnonzero(np.diff(cut))
+    return pa.record_batch({
+        "block": pa.array([block] * len(full), pa.int64()), "part": pa.array(full, pa.int32()),
+        "keys": pa.array([pack(np.diff(keys[cut[p] : cut[p + 1]], prepend=np.uint64(0))) for p in full], pa.binary()), "n": pa.array([pack(n[cut[p] : cut[p + 1]]) for p in full], pa.binary()),
+    })

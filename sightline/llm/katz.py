@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket, coded, hashed, mixed, new_name, pack, sliced, split_by_part, summed_in_parts, unpack, words
+from .common import Scratch, asked, bucket, coded, hashed, mixed, new_name, pack, sliced, summed_in_parts, unpack, words
 
 CUT = 5
 HOT = 1 << 20
-TEXTS_A_PART = 4000
+TEXTS_A_PART = 1500
 END = np.uint64(0x5EED0E4D0F7E8711)
 
 
@@ -79,7 +79,7 @@ def backoff(sums: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray,
 
 def _blocks(docs: DataFrame, parts: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 8 << 20):
+        for b in sliced(batches, "text"):
             flat, starts = words(b.column(2), lower=True)
             ids, vocab = coded(flat)
             u, at = np.unique(np.append(hashed(vocab), END), return_inverse=True)
@@ -105,10 +105,7 @@ def _asked(blocks: DataFrame, parts: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                keys, n = np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(n.as_py(), np.uint32)
-                cut = split_by_part(keys, parts)
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.record_batch({"block": pa.array([block] * len(full), pa.int64()), "part": pa.array(full, pa.int32()), "keys": pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()), "n": pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())})
+                yield asked(block, np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(n.as_py(), np.uint32), parts)
 
     return blocks.select("block", "keys", "train").mapInArrow(work, "block long, part int, keys binary, n binary")
 
@@ -118,8 +115,8 @@ def _numbered(blocks: DataFrame, counts: DataFrame, parts: int, total: int, dist
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         found = sorted(zip(right.column("part").to_pylist(), right.column("total"), right.column("place")), key=lambda x: x[0])
-        count = np.concatenate([np.frombuffer(t.as_py(), np.uint32) for _, t, _ in found])
-        number = np.concatenate([1 + np.frombuffer(p.as_py(), np.uint32).astype(np.uint64) * np.uint64(parts) + np.uint64(part) for part, _, p in found])
+        count = np.concatenate([unpack(t.as_py()) for _, t, _ in found])
+        number = np.concatenate([np.uint64(1) + unpack(p.as_py()) * np.uint64(parts) + np.uint64(part) for part, _, p in found])
         rank = unpack(left.column("ranks")[0].as_py()).astype(np.int64)
         by_rank = np.argsort(rank)
         count, number = count[by_rank], number[by_rank]
@@ -133,7 +130,8 @@ def _numbered(blocks: DataFrame, counts: DataFrame, parts: int, total: int, dist
         return t
 
     schema = "block long, ids array<long>, held binary, sizes binary, tokens binary, numbers binary, counts binary, known binary, base binary"
-    return blocks.groupBy("block").cogroup(counts.filter("block is not null").groupBy("block")).applyInArrow(work, schema)
+    # hashes and training counts have done their work, and stay behind
+    return blocks.select("block", "ids", "held", "sizes", "tokens", "ranks").groupBy("block").cogroup(counts.filter("block is not null").groupBy("block")).applyInArrow(work, schema)
 
 
 def _part_of(g1: np.ndarray, g2: np.ndarray, c1: np.ndarray, parts: int, hot: float, each: float) -> np.ndarray:
@@ -156,12 +154,14 @@ def _pairs(blocks: DataFrame, parts: int, hot: float, each: float, trained: int)
                 ctx[1:] = tok[:-1]
                 ctx[first] = len(number)  # the start of a text: number 0
                 g, c = np.append(number, 0).astype(np.uint64), np.append(count, trained)
-                pair, at, n = np.unique(ctx * len(number) + tok, return_inverse=True, return_counts=True)
-                docs = doc[np.argsort(at, kind="stable")]
+                pair = ctx * len(number) + tok
+                at = np.argsort(pair, kind="stable")
+                pair, docs = pair[at], doc[at]
+                begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                pair, n = pair[begin], np.diff(np.append(begin, len(pair)))
                 g1, g2, c1, c2 = g[pair // len(number)], g[pair % len(number)], c[pair // len(number)], c[pair % len(number)]
                 part = _part_of(g1, g2, c1, parts, hot, each)
                 order = np.lexsort((g2, g1, part))
-                begin = np.concatenate([[0], np.cumsum(n)[:-1]])
                 g1, g2, c1, c2, n, begin, part = g1[order], g2[order], c1[order], c2[order], n[order], begin[order], part[order]
                 ends = np.cumsum(n)
                 docs = docs[np.arange(len(docs)) - np.repeat(ends - n, n) + np.repeat(begin, n)]
@@ -280,16 +280,17 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     facts = counts.filter("block is null").select("total", "place").toLocalIterator()
     seen, total = np.zeros(17, np.int64), 0
     for row in facts:
-        seen += np.frombuffer(row["total"], np.uint64).astype(np.int64)
-        total += int(np.frombuffer(row["place"], np.uint64)[0])
+        seen += unpack(row["total"]).astype(np.int64)
+        total += int(unpack(row["place"])[0])
     distinct = int(seen[1:].sum())
     one = Unigrams(seen, total)
     numbered = keep.table(_numbered(blocks, counts, parts, total, distinct))
     keep.drop(blocks, counts)
     each = max(1.0, total / parts)
     hot = max(total / HOT, each / 4)
+    info = keep.table(numbered.select("block", "ids", "held", "sizes", "known", "base"))
     model = keep.table(_model(_pairs(numbered, parts, hot, each, trained)))
-    keep.free()
+    keep.drop(numbered)
     n, hots = _facts(model, one, hot)
     sums = _sums(model, one, discounts(n), hot, hots)
 
@@ -305,6 +306,5 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             "train_tokens": pa.array(np.full(m, total, np.int64)), "base_score": pa.array(np.frombuffer(left.column("base")[0].as_py())), "score": pa.array(score if total else np.zeros(m)),
         })
 
-    info = numbered.select("block", "ids", "held", "sizes", "known", "base")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return info.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(finish, schema)
