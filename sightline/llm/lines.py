@@ -12,45 +12,92 @@ document and stay alike; rows that share only doc_id come in the order of a hash
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_intdigest
+
+from .common import Scratch, coded, mixed, sliced
 
 WIDTH = 3
 
 
-def _windows(lines: Column) -> Column:
-    def hashes(i: Column) -> Column:
-        joined = F.array_join(F.slice(lines, i + 1, WIDTH), "\n")
-        return F.struct(i.alias("line"), F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(3), joined).alias("h2"), F.trim(F.regexp_replace(joined, r"\s+", "")).alias("seen"))
+def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of all texts: the text's number, the first line's number, and 128 bits of hash in two halves."""
+    lists = pc.split_pattern(pc.fill_null(text.cast(pa.large_string()), ""), "\n")
+    flat, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    ids, vocab = coded(flat)
+    each = [xxh3_128_intdigest(x) for x in vocab.to_pylist()]
+    halves = [np.fromiter((h >> s & (2**64 - 1) for h in each), np.uint64, len(each))[ids] for s in (64, 0)]
+    seen = pc.not_equal(pc.ascii_trim_whitespace(flat), "").to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    n = len(flat) - WIDTH + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 4
+    ok = (owner[:n] == owner[WIDTH - 1 :]) & (seen[:n] | seen[1 : n + 1] | seen[2:])
+    out = []
+    for h in halves:
+        k = mixed(h[:n])
+        for j in range(1, WIDTH):
+            k = mixed(k + h[j : n + j])
+        out.append(k.view(np.int64)[ok])
+    return owner[:n][ok], (np.arange(n) - starts[owner[:n]])[ok], *out
+
 
-    found = F.transform(F.sequence(F.lit(0), F.size(lines) - WIDTH), hashes)
-    return F.when(F.size(lines) >= WIDTH, F.transform(F.filter(found, lambda w: w.seen != ""), lambda w: F.struct(w.line.alias("line"), w.h1.alias("h1"), w.h2.alias("h2"))))
+def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    return [F.coalesce(docs[doc_id].cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(docs[text]).alias("k2")]
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k1, k2 (a document's key) and covered: the numbers of the lines that later occurrences cover."""
-    at = docs.select(*_key(docs, doc_id, text), F.explode(_windows(F.split(F.col(text), "\n", -1))).alias("w")).select("k1", "k2", "w.*")
-    place = F.struct("k1", "k2", "line")
-    many = at.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    """k1, k2 (a document's key) and starts: first lines of later occurrences."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            owner, line, h1, h2 = windows(b.column(2))
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["k1", "k2", "line", "h1", "h2"])
+
+    at = Scratch(docs.sparkSession).table(docs.select(*_key(docs, doc_id, text), docs[text].alias("text")).mapInArrow(work, "k1 long, k2 long, line int, h1 long, h2 long"))
+    many = at.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     other = (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))
     later = at.join(many, ["h1", "h2"]).filter(other | (F.col("line") >= F.col("first.line") + WIDTH))
-    starts = later.groupBy("k1", "k2").agg(F.collect_set("line").alias("starts"))
-    return starts.select("k1", "k2", F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + WIDTH - 1)))).alias("covered"))
+    return later.groupBy("k1", "k2").agg(F.collect_set("line").alias("starts"))
 
 
-def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
-    return [F.coalesce(docs[doc_id].cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(docs[text]).alias("k2")]
+def without(text: str | None, starts: np.ndarray) -> tuple[str | None, int, int]:
+    """A text without the lines that windows cover, its number of lines, and how many went."""
+    if text is None:
+        return None, 0, 0
+    lines = text.split("\n")
+    keep = np.ones(len(lines), bool)
+    for j in range(WIDTH):
+        keep[starts + j] = False
+    gone = int((~keep).sum())
+    return ("\n".join(lines[i] for i in np.flatnonzero(keep)) if gone else text), len(lines), gone
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """docs with the repeated lines gone; counts adds n_lines and n_removed."""
     names = docs.columns
     k1, k2 = _key(docs, doc_id, text)
-    gone = repeated_lines(docs, doc_id, text).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("covered").alias("__covered"))
-    lines = F.split(F.col(text), "\n", -1)
-    # membership by map keys: array_contains on long lists is quadratic
-    kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered"))), lambda i: F.get(lines, i))
-    new = F.when(F.col("__covered").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = docs.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left")
-    more = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return out.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in names), *more)
+    starts = repeated_lines(docs, doc_id, text).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("starts").alias("__starts"))
+    joined = docs.withColumns({"__k1": k1, "__k2": k2}).join(starts, ["__k1", "__k2"], "left").select(*(F.col(f"`{c}`") for c in names), "__starts")
+    schema = docs.select(*names).schema
+    if counts:
+        schema = schema.add("n_lines", "long").add("n_removed", "long")
+    at = names.index(text)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, text):
+            made = [without(t, np.array(s or [], np.int64)) for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
+            cols = [pa.array([m[0] for m in made], pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            if counts:
+                cols += [pa.array([m[k] for m in made], pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return joined.mapInArrow(work, schema)
