@@ -7,13 +7,15 @@
    frequency, and sets that share one of their first size - T + 1 n-grams come into one group: no link leaves a group.
 4. Inside a group, each set is a query against an inverted index of the sets before it, in the order of size. Its L longest lists are
    put aside, the others are merged, and sets that occur T - L times or more in them are probed for in the long lists by binary search
-   and kept if they reach the overlap. A set already in the query's component needs no second link.
+   and kept if they reach the overlap. A set already in the query's component needs no second link, and where few are outside it they are
+   compared at once.
 5. A group over BLOCK n-grams is dealt out in blocks. Each block also gets a few sets of the whole group (CENTRES), which joins most of
    a cohesive group in one step; sets that are outside the group's largest component then search all its other blocks.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own component; a text
 with fewer words than n is one n-gram; rows that share a doc_id are one node; a null doc_id has a null component and links with nothing;
-other columns are ignored; an empty table gives an empty one. N-grams are compared by 64-bit hashes.
+other columns are ignored; an empty table gives an empty one. N-grams are counted and first matched by 64-bit hashes, and compared by
+the first 48 bits of those.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, coded, hashed, mixed, new_name, runs, sliced, split_by_part, summed_in_parts, words
+from .common import Scratch, asked, coded, hashed, mixed, new_name, pack, runs, sliced, split_by_part, summed_in_parts, unpack, words
 from .graph import components, forest
 
+#: Bits of an n-gram's hash by which sets are stored and compared after the first pass.
+SHORT = 48
 #: N-grams in a block of a group, sets that all blocks of a group share, sets that are counted as one block.
 BLOCK, CENTRES, SETS = 600_000, 24, 2000
-DOCS_A_PART = 3000
+DOCS_A_PART = 1500
 
 
 def needed(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -122,7 +126,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
             toks.append(flat[at])
             fps.append(f1[owner])
             held += len(at)
-            if held > 3_000_000:
+            if held > 1_000_000:
                 yield from shared(np.concatenate(toks), np.concatenate(fps))
                 toks, fps, held = [], [], 0
         if held:
@@ -151,6 +155,22 @@ def _sharing(scan: DataFrame) -> DataFrame:
     return found.unionByName(scan.filter("kind = 2").select("f1")).distinct()
 
 
+def packed_sets(flat: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Sorted sets, one after the other, as differences inside each."""
+    d = np.diff(flat, prepend=np.uint64(0))
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    d[starts] = flat[starts]
+    return pack(d)
+
+
+def unpacked_sets(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    d = unpack(data)
+    total = np.cumsum(d, dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    before = np.where(starts > 0, total[np.maximum(starts, 1) - 1], np.uint64(0)) if len(total) else np.zeros(len(sizes), np.uint64)
+    return total - np.repeat(before, sizes)
+
+
 def _block_sets(sets: DataFrame, text: str, n: int, parts: int) -> DataFrame:
     """Sets of about SETS documents in one row: block, ids, sizes, tokens."""
 
@@ -159,7 +179,7 @@ def _block_sets(sets: DataFrame, text: str, n: int, parts: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             i, s, t = np.concatenate(ids), np.concatenate(sizes), np.concatenate(toks)
-            return pa.record_batch({"block": pa.array([new_name()], pa.int64()), "ids": pa.array([i.tobytes()], pa.binary()), "sizes": pa.array([s.tobytes()], pa.binary()), "tokens": pa.array([t.tobytes()], pa.binary())})
+            return pa.record_batch({"block": pa.array([new_name()], pa.int64()), "ids": pa.array([i.tobytes()], pa.binary()), "sizes": pa.array([s.tobytes()], pa.binary()), "tokens": pa.array([packed_sets(t, s)], pa.binary())})
 
         for b in sliced(batches, text):
             flat, starts = shingle_sets(b.column(2), n)
@@ -167,7 +187,7 @@ def _block_sets(sets: DataFrame, text: str, n: int, parts: int) -> DataFrame:
             size = np.diff(starts)
             ids.append(b.column(0).to_numpy()[same])
             sizes.append(size[same])
-            toks.append(flat[np.repeat(same, size)])
+            toks.append(flat[np.repeat(same, size)] >> np.uint64(64 - SHORT))
             if sum(map(len, ids)) >= SETS or sum(map(len, toks)) > 2_000_000:
                 if sum(map(len, ids)):
                     yield out()
@@ -181,14 +201,11 @@ def _block_sets(sets: DataFrame, text: str, n: int, parts: int) -> DataFrame:
 def _asked(blocks: DataFrame, parts: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, tokens in zip(b.column(0).to_pylist(), b.column(1)):
-                u, n = np.unique(np.frombuffer(tokens.as_py(), np.uint64), return_counts=True)
-                cut = split_by_part(u, parts)
-                for p in np.flatnonzero(np.diff(cut)):
-                    s = slice(cut[p], cut[p + 1])
-                    yield pa.record_batch({"block": pa.array([block], pa.int64()), "part": pa.array([p], pa.int32()), "keys": pa.array([u[s].tobytes()], pa.binary()), "n": pa.array([n[s].astype(np.uint32).tobytes()], pa.binary())})
+            for block, sizes, tokens in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                u, n = np.unique(unpacked_sets(tokens.as_py(), np.frombuffer(sizes.as_py(), np.int64)), return_counts=True)
+                yield asked(block, u, n, parts, SHORT)
 
-    return blocks.select("block", "tokens").mapInArrow(work, "block long, part int, keys binary, n binary")
+    return blocks.select("block", "sizes", "tokens").mapInArrow(work, "block long, part int, keys binary, n binary")
 
 
 def _candidates(blocks: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -197,11 +214,11 @@ def _candidates(blocks: DataFrame, counts: DataFrame, percent: int) -> DataFrame
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"id": [], "size": [], "set": [], "first": []}
         parts = sorted(zip(right.column("part").to_pylist(), right.column("total")), key=lambda x: x[0])
-        total = np.concatenate([np.frombuffer(t.as_py(), np.uint32) for _, t in parts]) if parts else np.zeros(0, np.uint32)
+        total = np.concatenate([unpack(t.as_py()) for _, t in parts]) if parts else np.zeros(0, np.uint64)
         for ids, sizes, tokens in zip(left.column("ids"), left.column("sizes"), left.column("tokens")):
-            ids, sizes, tokens = (np.frombuffer(x.as_py(), k) for x, k in ((ids, np.int64), (sizes, np.int64), (tokens, np.uint64)))
-            u, at = np.unique(tokens, return_inverse=True)
-            df = total[at]
+            ids, sizes = (np.frombuffer(x.as_py(), np.int64) for x in (ids, sizes))
+            tokens = unpacked_sets(tokens.as_py(), sizes)
+            df = total[np.unique(tokens, return_inverse=True)[1]]
             starts = np.concatenate([[0], np.cumsum(sizes)])
             enough = np.add.reduceat(df > 1, starts[:-1]) >= needed(sizes, percent)
             for i in np.flatnonzero(enough):
@@ -230,69 +247,72 @@ def search(sizes: np.ndarray, sets: list[np.ndarray], percent: int, root: np.nda
     u, tok = np.unique(flat, return_inverse=True)
     by = np.lexsort((owner, tok))
     lists, edge = owner[by], np.concatenate([[0], np.cumsum(np.bincount(tok, minlength=len(u)))])
-    begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
-    up = np.arange(m)
-    if root is not None:
-        first: dict = {}
-        for i, r in enumerate(root[order].tolist()):
-            up[i] = first.setdefault(r, i)
+    have = np.bincount(owner, minlength=m)
+    begin = np.concatenate([[0], np.cumsum(have)])
+    lab = np.arange(m) if root is None else np.unique(root[order], return_inverse=True)[1]
     asks = np.ones(m, bool) if queries is None else queries[order]
-    links = []
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for q in range(m):
+    mark, links = np.zeros(len(u), bool), []
+
+    def shared(c: np.ndarray) -> np.ndarray:
+        """Overlaps of some sets with the query, whose n-grams are marked."""
+        n = have[c]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) - np.repeat(ends - n, n) + np.repeat(begin[c], n)
+        total = np.concatenate([[0], np.cumsum(mark[tok[at]])])
+        return total[ends] - total[ends - n]
+
+    def join(q: int, c: np.ndarray, got: np.ndarray) -> None:
+        """Links the query with those of the sets that are similar enough and not yet in its component."""
+        for x in c[100 * got >= percent * (size[q] + size[c] - got)].tolist():
+            if lab[x] != lab[q]:
+                links.append((int(order[q]), int(order[x])))
+                lab[lab == max(lab[x], lab[q])] = min(lab[x], lab[q])
+
+    for q in np.flatnonzero(asks).tolist():
         mine = tok[begin[q] : begin[q + 1]]
         n = int(size[q])
         t = int(needed(n, percent))
-        # partners of a size that allows the overlap: before the query, or also after it if those don't ask
+        # partners of a size that allows the overlap: before the query, or also after it where those may not ask
         lo = int(np.searchsorted(size, t))
         hi = q if queries is None else int(np.searchsorted(size, n * 100 // percent, "right"))
-        if not asks[q]:
-            continue
-        if hi <= lo or len(mine) < t:
+        if hi <= lo or len(mine) < t or not (lab[lo:hi] != lab[q]).any():
             continue
+        mark[mine] = True
+        # the last sets before the query are of its size, and in a cohesive group they are likely to link it at once
+        near = np.arange(max(lo, min(q, hi) - 8), min(q, hi))
+        near = near[lab[near] != lab[q]]
+        if len(near):
+            join(q, near, shared(near))
         a, b = edge[mine], edge[mine + 1]
-        length = b - a
-        long = np.argsort(-length, kind="stable")
-        most = int(length[long[0]])
+        long = np.argsort(a - b, kind="stable")
+        most = int(b[long[0]] - a[long[0]])
         aside = min(t - 1, int(t / (0.01 * np.log2(max(2, most)) + 1)))
         short = long[aside:]
-        merged = np.sort(np.concatenate([lists[a[i] : b[i]] for i in short]), kind="stable")
-        merged = merged[np.searchsorted(merged, lo) : np.searchsorted(merged, hi)]
-        if not len(merged):
-            continue
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(merged)) + 1, [len(merged)]])
-        who, times = merged[cut[:-1]], np.diff(cut)
-        ok = (times >= t - aside) & (who != q)
-        who, times = who[ok], times[ok]
-        tops = np.fromiter((top(x) for x in who.tolist()), np.int64, len(who))
-        while len(who):
-            other = tops != top(q)
-            who, times, tops = who[other], times[other], tops[other]
-            if not len(who):
-                break
-            some = np.argsort(-times, kind="stable")[:16]
-            c, got, left = who[some], times[some].copy(), np.ones(len(some), bool)
-            for k, i in enumerate(long[:aside]):  # probe the long lists; who can't reach the overlap any more is left out
-                at = a[i] + np.searchsorted(lists[a[i] : b[i]], c)
-                got += (at < b[i]) & (lists[np.minimum(at, b[i] - 1)] == c)
-                if k % 16 == 15:
-                    left = got + (aside - 1 - k) >= t
-                    if not left.any():
-                        break
-            union = n + size[c] - got
-            for x in c[left & (100 * got >= percent * union)].tolist():
-                if top(x) != top(q):
-                    links.append((int(order[q]), int(order[x])))
-                    up[max(top(x), top(q))] = min(top(x), top(q))
-            rest = np.ones(len(who), bool)
-            rest[some] = False
-            who, times, tops = who[rest], times[rest], np.fromiter((top(x) for x in who[rest].tolist()), np.int64, int(rest.sum()))
+        rest = lo + np.flatnonzero(lab[lo:hi] != lab[q])
+        if len(rest) and have[rest].sum() <= (b - a)[short].sum():
+            join(q, rest, shared(rest))  # fewer entries than the short lists have
+        elif len(rest):
+            n_short = (b - a)[short]
+            ends = np.cumsum(n_short)
+            merged = lists[np.arange(int(ends[-1])) - np.repeat(ends - n_short, n_short) + np.repeat(a[short], n_short)]
+            times = np.bincount(merged, minlength=m)[lo:hi]  # the merge of the short lists, as counts
+            who = lo + np.flatnonzero((times >= t - aside) & (lab[lo:hi] != lab[q]))
+            who = who[np.argsort(-times[who - lo], kind="stable")]
+            some = 16  # the likeliest first: if one links, others of its component needn't be probed for
+            while len(who):
+                c, who = who[:some], who[some:]
+                got = times[c - lo]
+                for k, i in enumerate(long[:aside]):  # probe the long lists; who can't reach the overlap any more is left out
+                    at = a[i] + np.searchsorted(lists[a[i] : b[i]], c)
+                    got = got + ((at < b[i]) & (lists[np.minimum(at, b[i] - 1)] == c))
+                    if k % 8 == 7:
+                        left = got + (aside - 1 - k) >= t
+                        c, got = c[left], got[left]
+                        if not len(c):
+                            break
+                join(q, c, got)
+                who, some = who[lab[who] != lab[q]], len(who)
+        mark[mine] = False
     return links
 
 
@@ -323,25 +343,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     total = docs.count()
     parts = max(48, -(-total // DOCS_A_PART))
     scan = keep.table(_scan(docs, doc_id, text, n, percent, parts))
-    known = scan.filter("kind = 0").select("id", "size", "f1", "f2")
-    reps = known.filter("size > 0 and id is not null").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"))
-    asking = reps.join(_sharing(scan), "f1", "left_semi").select(F.col("rep").alias("__rep"), "f1").dropDuplicates(["__rep"])
+    known = keep.table(scan.filter("kind = 0").select("id", "size", "f1", "f2"))
+    reps = keep.table(known.filter("size > 0 and id is not null").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")))
+    asking = keep.table(reps.join(_sharing(scan), "f1", "left_semi").select(F.col("rep").alias("__rep"), "f1").dropDuplicates(["__rep"]))
+    keep.drop(scan)
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), text)
     chosen = asking.join(texts, F.col("__rep") == F.col("__id")).select("__id", "f1", text)
     blocks = keep.table(_block_sets(chosen, text, n, parts))
     keep.free()
-    counts = keep.table(summed_in_parts(_asked(blocks, parts)))
+    counts = keep.table(summed_in_parts(_asked(blocks, parts), ranked=False))
     sets = keep.table(_candidates(blocks, counts, percent))
     keep.drop(blocks, counts)
     tokens = keep.table(sets.select("id", F.explode("first").alias("t")))
     least = tokens.groupBy("t").agg(F.min("id").alias("m"), F.count("*").alias("c")).filter("c > 1")
     rough = components(tokens.join(least, "t").select(F.col("id").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
     keep.drop(tokens)
-    group = sets.select("id", "size", "set").join(rough.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("component_id", "id")).drop("component_id")
-    group = keep.table(group)
-    sized = group.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select("grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    sized = keep.table(sized)
-    dealt = group.join(sized, "grp").withColumn("p", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    grouped = keep.table(sets.select("id", "size").join(rough.withColumnRenamed("node", "id"), "id", "left").select("id", "size", F.coalesce("component_id", "id").alias("grp")))
+    sized = keep.table(grouped.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select("grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
+    names = grouped.join(sized, "grp").select("id", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("p"))
+    dealt = keep.table(sets.select("id", "size", "set").join(names, "id"))
+    keep.drop(sets, grouped)
     large = sized.filter("blocks > 1")
     one = dealt.withColumns({"q": F.lit(0), "role": F.lit(1).cast("long"), "root": F.col("id")})
     some_large = not large.isEmpty()
@@ -366,7 +387,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             links = keep.table(links.unionByName(_links(ask.unionByName(index), percent, known=True)))
     comp = components(links)
     named = keep.table(reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("component_id", "rep").alias("component_id")))
-    keep.drop(group, sets)
+    keep.drop(dealt)
     out = known.join(named, ["f1", "f2", "size"], "left")
     return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
