@@ -68,12 +68,14 @@ def marginals(score: np.ndarray, trans: np.ndarray, first: float, starts: np.nda
         if t:
             g = e[rows] * b[:k]
             b[:k] = (w[1, 0] + w[1, 1] * g) / (w[0, 0] + w[0, 1] * g)
-    odds = fore * aft
-    p = odds / (1 + odds)
     # pairs: weight of (a, b) between a word and the next one of the same text
     nxt = np.ones(len(score), bool)
     nxt[starts[1:][np.diff(starts) > 0] - 1] = False
     i = np.flatnonzero(nxt)
     g, x = fore[i], e[i + 1] * aft[i + 1]
-    m = np.stack([np.full(len(i), w[0, 0]), w[0, 1] * x, g * w[1, 0], g * w[1, 1] * x])
-    return p, (m / m.sum(0)).sum(1).reshape(2, 2)
+    whole = w[0, 0] + w[0, 1] * x + g * (w[1, 0] + w[1, 1] * x)
+    for a in (0, 1):
+        for b in (0, 1):
+            pairs[a, b] = (w[a, b] * (g if a else 1) * (x if b else 1) / whole).sum()
+    fore *= aft
+    return fore / (1 + fore), pairs

@@ -1,7 +1,7 @@
 """Toxicity with a linear-chain conditional random field over words.
 
-Fit: from at most 2 * `most` labelled texts (of `longest` code points at most), chosen by a hash of their ids, words of toxic texts are
-labelled by features - the word, its first 4, 5 and 6 letters - that set toxic texts apart beyond chance; all other words are clean. The
+Fit: from about `most` toxic and CLEAN * `most` other labelled texts (of `longest` code points at most), chosen by a hash of their ids,
+words of toxic texts are labelled by features - the word, its first 4, 5 and 6 letters - that set toxic texts apart beyond chance; all other words are clean. The
 field's weights (hashed features of a word, and transitions) are fitted to these word labels by gradient steps on the exact
 conditional likelihood. Scoring: forward-backward gives each word its probability; a text's score is the largest, and runs of words
 with probability >= THRESHOLD are the offending spans, as offsets in code points.
@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chains import marginals
-from .common import coded, hashed, mixed, sliced, words
+from .common import coded, hashed, mixed, modest, sliced, words
 
 THRESHOLD = 0.3
-SAMPLE, LONGEST = 1500, 30_000
+SAMPLE, CLEAN, LONGEST = 1500, 3, 12_000
 SIZE = 1 << 18
 #: What is cut from both ends of a word.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
-#: Columns of features: the word, first 3 to 6 letters, last 3 and 4. Those that may label words in training: the word, first 4 to 6.
-HEADS, TAILS, LABELLING = (3, 4, 5, 6), (3, 4), (0, 2, 3, 4)
-STEPS, RATE, DECAY = 25, 0.6, 1e-3
+#: Columns of features: the word, and its first 4 to 6 letters. Those that may label words in training: all.
+HEADS, LABELLING = (4, 5, 6), (0, 1, 2, 3)
+LEAST, STEPS, RATE, DECAY = 3, 25, 0.6, 1e-3
 
 
 def features(vocab: pa.Array) -> np.ndarray:
@@ -40,43 +40,59 @@ def features(vocab: pa.Array) -> np.ndarray:
     bare = pc.utf8_trim(pc.utf8_lower(vocab), EDGES)
     n = pc.utf8_length(bare).to_numpy(zero_copy_only=False).astype(np.int64)
     p = np.frombuffer("".join(bare.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    ends = np.cumsum(n)
-    begin = ends - n
-    out = np.zeros((len(bare), 1 + len(HEADS) + len(TAILS)), np.int64)
+    begin = np.cumsum(n) - n
+    out = np.zeros((len(bare), 1 + len(HEADS)), np.int64)
     fold = lambda key, col: (mixed(key + np.uint64(col << 56)) % np.uint64(SIZE - 1)).astype(np.int64) + 1
     out[:, 0] = np.where(n > 0, fold(hashed(bare) >> np.uint64(8), 0), 0)
-    for c, (k, tail) in enumerate([(k, False) for k in HEADS] + [(k, True) for k in TAILS], 1):
+    for c, k in enumerate(HEADS, 1):
         ok = np.flatnonzero(n >= k)
         key = np.zeros(len(ok), np.uint64)
         for j in range(k):
-            key = key * np.uint64(1_000_003) + p[(ends[ok] - k if tail else begin[ok]) + j]
+            key = key * np.uint64(1_000_003) + p[begin[ok] + j]
         out[ok, c] = fold(key >> np.uint64(8), c)
     return out
 
 
-def _markers(ids: np.ndarray, starts: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which features set toxic texts apart: how many texts have one against how many of those are toxic, by a bound on chance."""
+def _markers(ids: np.ndarray, starts: np.ndarray, feats: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarray:
+    """Which features set toxic texts apart: nine of ten texts with one are toxic, and that is beyond chance.
+
+    The one in most texts is taken, what it explains is left out, and so on, while one explains LEAST more: words that only stand next to
+    a marker, as in copies of one text, are not taken. odds: how many clean texts each clean one of the sample stands for, next to a toxic one.
+    """
     owner = np.repeat(np.arange(len(toxic)), np.diff(starts))
     pair = np.unique(owner * (len(feats) + 1) + ids)
     owner, word = pair // (len(feats) + 1), pair % (len(feats) + 1)
     f = feats[word][:, list(LABELLING)]
     pair = np.unique((owner[:, None] * SIZE + f)[f > 0])
     owner, f = pair // SIZE, pair % SIZE
-    n, k = np.bincount(f, minlength=SIZE), np.bincount(f, weights=toxic[owner], minlength=SIZE)
-    rate, share = toxic.mean(), k / np.maximum(n, 1)
-    q = np.clip(share, 1e-9, 1 - 1e-9)
+    clean = np.bincount(f[toxic[owner] == 0], minlength=SIZE)
+    owner, f = (x[toxic[owner] > 0] for x in (owner, f))
+    rate, out = toxic.mean(), np.zeros(SIZE, bool)
+    k = np.bincount(f, minlength=SIZE)
+    n = k + clean
+    q = np.clip(k / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     beyond = n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
-    return (share >= 0.9) & (share > rate) & (beyond >= math.log(100 * max(1, int((n > 1).sum()))))
+    ok = (k >= 0.9 * (k + odds * clean)) & (q > rate) & (beyond >= math.log(100 * max(1, int((k > 1).sum()))))
+    while len(f):
+        k = np.bincount(f, minlength=SIZE)
+        k = np.where(ok & (k >= 0.9 * (k + odds * clean)), k, 0)
+        best = int(np.argmax(k))
+        if k[best] < LEAST:
+            break
+        out[best] = True
+        rest = ~np.isin(owner, owner[f == best])
+        owner, f = owner[rest], f[rest]
+    return out
 
 
-def fit(texts: pa.Array, toxic: np.ndarray) -> dict | None:
+def fit(texts: pa.Array, toxic: np.ndarray, odds: float = 1.0) -> dict | None:
     """Weights from whole texts and their labels (0 or 1)."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     flat, starts = words(texts)
     ids, vocab = coded(flat)
     feats = features(vocab)
-    marker = _markers(ids, starts, feats, toxic)
+    marker = _markers(ids, starts, feats, toxic, odds)
     hot = marker[feats].any(1)
     y = hot[ids] & np.repeat(toxic > 0, np.diff(starts))
     theta, grown = np.zeros(SIZE), np.full(SIZE, 1e-6)
@@ -104,11 +120,21 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> dict | None:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = SAMPLE, longest: int = LONGEST) -> dict | None:
     known = labels.filter(usable & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("__y"))
     n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    part = F.coalesce(*[F.when(F.col("__y") == y, min(1.0, most / c)) for y, c in n.items()], F.lit(0.0)) if n else F.lit(0.0)
+    shares = {y: min(1.0, (most if y else CLEAN * most) / c) for y, c in n.items()}
+    part = F.coalesce(*[F.when(F.col("__y") == y, x) for y, x in shares.items()], F.lit(0.0)) if n else F.lit(0.0)
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), doc_id), F.lit(1_000_000)) < part * 1_000_000)
-    # 2 * most ids at about: a bounded side
-    got = docs.filter(F.length(text) <= longest).select(doc_id, text).join(F.broadcast(chosen), doc_id).select("__y", text).toPandas()
-    return fit(pa.array(got[text], pa.large_string()), got["__y"].to_numpy())
+    # (1 + CLEAN) * most ids at about: a bounded side, and a bounded group, which one task fits so that the driver needn't hold it
+    sample = docs.filter(F.length(text) <= longest).select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.lit(0).alias("__g"), "__y", F.col(text).alias("__text"))
+    odds = shares.get(1, 1.0) / shares.get(0, 1.0) if n else 1.0
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("__y", "ascending"), ("__text", "ascending")])  # sums come out alike, however the rows come in
+        m = fit(t.column("__text").combine_chunks(), t.column("__y").to_numpy(), odds)
+        rows = [] if m is None else [m]
+        return pa.table({"theta": pa.array([m["theta"].tobytes() for m in rows], pa.binary()), "trans": pa.array([m["trans"].ravel().tolist() for m in rows], pa.list_(pa.float64())), "first": pa.array([m["first"] for m in rows], pa.float64())})
+
+    got = sample.groupBy("__g").applyInArrow(work, "theta binary, trans array<double>, first double").collect()
+    return {"theta": np.frombuffer(got[0]["theta"], np.float32), "trans": np.array(got[0]["trans"]).reshape(2, 2), "first": got[0]["first"]} if got else None
 
 
 def word_scores(text: pa.Array, model: dict | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -137,6 +163,7 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 def score(docs: DataFrame, model: dict | None, text: str = "text", spans: bool = True, keep: list[str] | None = None, below: float | None = None) -> DataFrame:
     """docs (or the columns in keep) with toxicity and, if asked, toxic_spans. below: only texts that score less, and no more columns."""
     names = docs.columns if keep is None else keep
+    modest(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*names, F.col(text).alias("__text"))
     schema = docs.select(*names).schema
