@@ -24,6 +24,10 @@ except (OSError, AttributeError):  # not glibc
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Narrow rows in a file of an intermediate table, where their number is known.
+ROWS_A_FILE = 20_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -48,9 +52,11 @@ class Scratch:
         self.spark, self.at, self.n = spark, shared_dir(spark), 0
         modest(spark)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Writes df and reads it again."""
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Writes df and reads it again. rows: about how many narrow rows it has at most; few rows need no more than a few files."""
         self.n += 1
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         path = f"{self.at}/{self.n}"
         # once the table is written its shuffles have no more readers; Spark then deletes their files
         name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -58,8 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) -> node, component_id: the smallest node reachable. Nodes that are the smallest themselves are left out."""
     keep = Scratch(links.sparkSession)
     schema = "a long, b long"
-    now = keep.table(links.select("a", "b").filter("a != b").mapInArrow(_thin, schema).repartition(F.col("b")).mapInArrow(_thin, schema))
-    before = None
+    now = keep.table(links.select("a", "b").filter("a != b").mapInArrow(_thin, schema).repartition(F.col("a")).mapInArrow(_thin, schema))
+    n, before = now.count(), None  # a round never has more links than the first one
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -67,7 +67,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        new = keep.table(small)
+        new = keep.table(small, n)
         keep.drop(now)
         now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

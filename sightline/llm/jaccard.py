@@ -343,9 +343,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     total = docs.count()
     parts = max(48, -(-total // DOCS_A_PART))
     scan = keep.table(_scan(docs, doc_id, text, n, percent, parts))
-    known = keep.table(scan.filter("kind = 0").select("id", "size", "f1", "f2"))
-    reps = keep.table(known.filter("size > 0 and id is not null").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")))
-    asking = keep.table(reps.join(_sharing(scan), "f1", "left_semi").select(F.col("rep").alias("__rep"), "f1").dropDuplicates(["__rep"]))
+    known = keep.table(scan.filter("kind = 0").select("id", "size", "f1", "f2"), total)
+    reps = keep.table(known.filter("size > 0 and id is not null").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), total)
+    asking = keep.table(reps.join(_sharing(scan), "f1", "left_semi").select(F.col("rep").alias("__rep"), "f1").dropDuplicates(["__rep"]), total)
     keep.drop(scan)
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), text)
     chosen = asking.join(texts, F.col("__rep") == F.col("__id")).select("__id", "f1", text)
@@ -358,8 +358,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     least = tokens.groupBy("t").agg(F.min("id").alias("m"), F.count("*").alias("c")).filter("c > 1")
     rough = components(tokens.join(least, "t").select(F.col("id").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
     keep.drop(tokens)
-    grouped = keep.table(sets.select("id", "size").join(rough.withColumnRenamed("node", "id"), "id", "left").select("id", "size", F.coalesce("component_id", "id").alias("grp")))
-    sized = keep.table(grouped.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select("grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
+    grouped = keep.table(sets.select("id", "size").join(rough.withColumnRenamed("node", "id"), "id", "left").select("id", "size", F.coalesce("component_id", "id").alias("grp")), total)
+    sized = keep.table(grouped.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select("grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), total)
     names = grouped.join(sized, "grp").select("id", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("p"))
     dealt = keep.table(sets.select("id", "size", "set").join(names, "id"))
     keep.drop(sets, grouped)
@@ -386,7 +386,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             index = root.join(qs, "grp").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("role", F.lit(0).cast("long")).drop("qs")
             links = keep.table(links.unionByName(_links(ask.unionByName(index), percent, known=True)))
     comp = components(links)
-    named = keep.table(reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("component_id", "rep").alias("component_id")))
+    named = keep.table(reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("component_id", "rep").alias("component_id")), total)
     keep.drop(dealt)
     out = known.join(named, ["f1", "f2", "size"], "left")
     return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

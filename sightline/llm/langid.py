@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chains import viterbi
-from .common import coded, mixed, sliced, words
+from .common import coded, mixed, modest, sliced, words
 
 #: First and last code points of scripts. What is outside all is script 0; 1 is Latin.
 SCRIPTS = (
@@ -150,6 +150,7 @@ def spans_of(state: np.ndarray, letters: np.ndarray, starts: np.ndarray, langs:
 
 def identify(docs: DataFrame, model: dict, text: str = "text", spans: bool = True) -> DataFrame:
     """docs with lang_pred, lang_score and, if asked, lang_spans. The model has a fixed number of buckets, and goes out as a broadcast."""
+    modest(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")

@@ -106,8 +106,9 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     # a sum of squares outside the range of doubles can't be normalised
     named = base.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")})
-    reps = keep.table(named.filter("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")))
-    bits, bands = plan(reps.count(), limit, recall)
+    reps = keep.table(named.filter("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), rows.count())
+    n = reps.count()
+    bits, bands = plan(n, limit, recall)
 
     def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +170,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     found = keep.table(dealt.mapInArrow(links, "a long, b long, n long"))
     linked = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("b is not null").select("a", "b"))
-    known = keep.table(reps.select("label", "h1", "h2", "rep", "weight").join(linked, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left"))
+    known = keep.table(reps.select("label", "h1", "h2", "rep", "weight").join(linked, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left"), n)
     joined = named.select("id", "ok", F.when(F.col("ok"), F.col("label")).alias("label"), "h1", "h2").join(known, ["label", "h1", "h2"], "left")
     out = joined.select(
         F.col("id").alias("vec_id"),
