@@ -17,16 +17,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, sliced
+from .common import Scratch, modest, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -134,19 +135,19 @@ def ways(m: Pieces, s: str, entries: list[tuple[int, int]], lo: int, hi: int) ->
     return ends
 
 
-def _inside(m: Pieces, s: str, a: int, b: int) -> tuple[int | None, int | None]:
-    """The first and the last place from a to b that is a boundary whatever is around it."""
-    first = next((i for i in range(max(a, 1), b + 1) if i < len(s) and m.cut(s, i)), None)
-    last = next((i for i in range(b, (first or b) - 1, -1) if i < len(s) and i > 0 and m.cut(s, i)), None) if first is not None else None
-    return first, last
+def _inside(m: Pieces, s: str, a: int, b: int) -> tuple[int, int] | None:
+    """The first and the last place from a on, before b, that is a boundary whatever is around it. b itself would leave its state open."""
+    first = next((i for i in range(max(a, 1), b) if m.cut(s, i)), None)
+    if first is None:
+        return None
+    return first, next(i for i in range(b - 1, first - 1, -1) if m.cut(s, i))
 
 
 def transfer(m: Pieces, s: str, a: int, b: int, head: bool, tail: bool) -> np.ndarray:
     """The matrix of the chunk s[a:b], which has text before and after it in s; head and tail: it begins or ends the whole text."""
     rows = [(a, a)] if head else [(p + a, q + a) for p, q in states(m, s, a)]
     cols = [(b, b)] if tail else [(p + b, q + b) for p, q in states(m, s, b)]
-    first, last = _inside(m, s, a, b)
-    out = np.full((len(rows), len(cols)), NO)
+    inside = _inside(m, s, a, b)
 
     def to(ends: dict, n: int) -> np.ndarray:
         """Weights of the ways from each of n entries to each column."""
@@ -157,12 +158,12 @@ def transfer(m: Pieces, s: str, a: int, b: int, head: bool, tail: bool) -> np.nd
                     w[:, j] = np.maximum(w[:, j], x)
         return w
 
-    if first is None:
+    if inside is None:
         return to(ways(m, s, rows, a, b), len(rows))
+    first, last = inside
     begin = ways(m, s, rows, a, first)
     left = reduce(np.maximum, (x for _, x, _ in begin.get(first, ())), np.full(len(rows), NO))
-    right = to(ways(m, s, [(last, last)], last, b), 1)[0] if not (tail and last == b) else np.zeros(len(cols))
-    return np.maximum(out, left[:, None] + right[None, :])
+    return left[:, None] + to(ways(m, s, [(last, last)], last, b), 1)
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,14 +202,13 @@ def traced(m: Pieces, s: str, a: int, b: int, head: bool, tail: bool, i: int, j:
     entry = (a, a) if head else [(p + a, q + a) for p, q in states(m, s, a)][i]
     exit_ = None if tail else [(p + b, q + b) for p, q in states(m, s, b)][j]
     end = b if tail else exit_[1]
-    first, last = _inside(m, s, a, b)
-    if first is None:
+    inside = _inside(m, s, a, b)
+    if inside is None:
         return ids_of(m, _trace(s, ways(m, s, [entry], a, b), exit_, end))
+    first, last = inside
     out = ids_of(m, _trace(s, ways(m, s, [entry], a, first), None, first))
     out += m.raw.encode(s[first:last]) if last > first else []
-    if end > last:
-        out += ids_of(m, _trace(s, ways(m, s, [(last, last)], last, b), exit_, end))
-    return out
+    return out + ids_of(m, _trace(s, ways(m, s, [(last, last)], last, b), exit_, end))
 
 
 def ids_of(m: Pieces, pieces: list[str]) -> list[int]:
@@ -264,12 +264,25 @@ def _giant_ids(giants: DataFrame, sent) -> DataFrame:
 
     done = parts.join(found, ["k1", "k2", "no"]).select("k1", "k2", "no", "last", "body", "before", "after", "i", "j").mapInArrow(trace, "k1 long, k2 long, no int, ids array<int>")
     joined = F.array_sort(F.collect_list(F.struct("no", F.col("ids").alias("ids"))))
-    return done.groupBy("k1", "k2").agg(F.flatten(F.transform(joined, lambda x: x.ids)).alias("ids"))
+    made = keep.table(done.groupBy("k1", "k2").agg(F.flatten(F.transform(joined, lambda x: x.ids)).alias("ids")))
+    left = made.filter("ids is null")
+    if left.isEmpty():
+        return made
+
+    # a model whose pieces have equal weights may leave no way, or two: such a text is encoded in one piece
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Pieces(sent.value)
+        for b in batches:
+            yield pa.record_batch({"k1": b.column(0), "k2": b.column(1), "ids": pa.array([m.whole.encode(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))})
+
+    again = giants.join(left.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "__text").mapInArrow(whole, "k1 long, k2 long, ids array<int>")
+    return made.filter("ids is not null").unionByName(again)
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns in keep) with ids: array<int>."""
     names = docs.columns if keep is None else keep
+    modest(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model))  # of a fixed size
     inner = docs.select(*names, F.col(text).alias("__text"))
     schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -279,7 +292,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
         for b in sliced(batches, "__text", 3 << 20):
             t = b.column(len(names))
             ids = m.whole.encode(pc.fill_null(t, "").to_pylist(), num_threads=1)
-            flat = np.fromiter((x for y in ids for x in y), np.int32)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=t.is_null())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), made], names=schema.names)
@@ -303,9 +316,10 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 x = b.slice(start, 500)
-                lists = [y or [] for y in x.column(b.schema.get_field_index(ids)).to_pylist()]
-                made = pa.array(m.whole.decode(lists, num_threads=1) if lists else [], pa.string())
-                made = pc.if_else(x.column(b.schema.get_field_index(ids)).is_null(), None, made)
+                col = x.column(b.schema.get_field_index(ids))
+                flat, at = col.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)).tolist()
+                made = pa.array(m.whole.decode([flat[s:e] for s, e in zip([0, *at], at)], num_threads=1) if at else [], pa.string())
+                made = pc.if_else(col.is_null(), None, made)
                 yield pa.RecordBatch.from_arrays([*x.columns, made], names=schema.names)
 
     return rows.mapInArrow(work, schema)
