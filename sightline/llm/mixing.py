@@ -27,7 +27,7 @@ MOST = 3.0
 #: Newton steps at most, and the relative error of a source's tokens at which they stop.
 STEPS, CLOSE = 60, 1e-9
 #: Documents in a group that is rounded together.
-GROUP = 20_000
+GROUP = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -62,7 +62,8 @@ def tilts(sizes: DataFrame, most: float = MOST) -> DataFrame:
     state = sizes.groupBy("key").agg(
         F.first("target").alias("target"), F.first("source_size").alias("total"), F.min("size").cast("double").alias("low_size"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done")
     ).withColumn("hi", F.log(F.lit(most)) * F.col("scale") / F.col("low_size"))
-    state = keep.table(state)
+    state = keep.table(state, 1)
+    n = state.count()
     for _ in range(STEPS):
         x = F.col("size") / F.col("scale")
         rate = F.exp(F.col("tilt") * x)
@@ -77,7 +78,7 @@ def tilts(sizes: DataFrame, most: float = MOST) -> DataFrame:
         )
         inside = F.col("newton").isNotNull() & ~F.isnan("newton") & (F.col("lo").isNull() | (F.col("newton") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("newton") < F.col("hi")))
         half = F.when(F.col("lo").isNull(), F.col("hi") - 2 * (F.abs(F.col("hi")) + 1)).when(F.col("hi").isNull(), F.col("lo") + 2 * (F.abs(F.col("lo")) + 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
-        new = keep.table(state2.withColumn("tilt", F.when(F.col("done"), F.col("old")).when(inside, F.col("newton")).otherwise(half)).drop("old", "newton"))
+        new = keep.table(state2.withColumn("tilt", F.when(F.col("done"), F.col("old")).when(inside, F.col("newton")).otherwise(half)).drop("old", "newton"), n)
         keep.drop(state)
         state = new
         if state.filter("not done").isEmpty():
@@ -103,12 +104,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     narrow = keep.table(docs.select(F.col(doc_id).cast("long").alias("k1"), F.xxhash64(text).alias("k2"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
     sizes = keep.table(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
-    goal = keep.table(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).drop("docs"), weights, most))
+    goal = keep.table(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).drop("docs"), weights, most), 1)
     found = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["source"], "size", "n", "target", "source_size")
     tilt = tilts(found, most)
     groups = sizes.groupBy("source").agg(F.ceil(F.sum("n") / GROUP).alias("groups"))
     known = goal.join(groups, goal["source"].eqNullSafe(groups["source"])).select(F.coalesce(F.concat(F.lit("s"), goal["source"]), F.lit("n")).alias("key"), "source_size", "target", "groups").join(tilt, "key", "left")
-    known = keep.table(known)
+    known = keep.table(known, goal.count())
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("target") >= F.col("source_size") * most * (1 - 1e-12), most).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(most), F.exp(F.col("tilt") * F.col("size") / F.col("scale"))))
     rates = narrow.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source").join(known, "key").select("k1", "k2", "key", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("k1", "k2"), F.col("groups")).alias("g"))
 
@@ -123,12 +124,14 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     cols = [F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("copies").alias("__copies")]
     if not keep_text:
         return taken.select(F.col("k1").alias(doc_id), *cols)
-    # rows that share id, text and source can't be told apart: their copies are dealt out by number
-    nth = F.row_number().over(Window.partitionBy("k1", "k2", "skey").orderBy("copies"))
-    taken = taken.withColumnRenamed("key", "skey").withColumn("nth", nth).select("k1", "k2", "skey", "nth", *cols)
+    taken = taken.withColumnRenamed("key", "skey").select("k1", "k2", "skey", "copies", *cols)
     mine = docs.withColumns({"k1__": docs[doc_id].cast("long"), "k2__": F.xxhash64(text), "skey__": key})
-    mine = mine.withColumn("nth__", F.row_number().over(Window.partitionBy("k1__", "k2__", "skey__").orderBy(F.lit(1))))
-    on = mine["k1__"].eqNullSafe(taken["k1"]) & (mine["k2__"] == taken["k2"]) & (mine["skey__"] == taken["skey"]) & (mine["nth__"] == taken["nth"])
+    on = mine["k1__"].eqNullSafe(taken["k1"]) & (mine["k2__"] == taken["k2"]) & (mine["skey__"] == taken["skey"])
+    if not narrow.groupBy("k1", "k2", "source").count().filter("count > 1").isEmpty():
+        # rows that share id, text and source can't be told apart: their copies are dealt out by number
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2", "skey").orderBy("copies")))
+        mine = mine.withColumn("nth__", F.row_number().over(Window.partitionBy("k1__", "k2__", "skey__").orderBy(F.lit(1))))
+        on = mine["k1__"].eqNullSafe(taken["k1"]) & (mine["k2__"] == taken["k2"]) & (mine["skey__"] == taken["skey"]) & (mine["nth__"] == taken["nth"])
     return mine.join(taken, on).select(*(mine[c] for c in docs.columns), "__size", "__source_size", "__target", "__copies")
 
 
