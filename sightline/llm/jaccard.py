@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, asked, coded, hashed, mixed, new_name, pack, runs, sliced, split_by_part, summed_in_parts, unpack, words
-from .graph import components, forest
+from .graph import components
 
 #: Bits of an n-gram's hash by which sets are stored and compared after the first pass.
 SHORT = 48
@@ -171,7 +171,7 @@ def unpacked_sets(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, sizes)
 
 
-def _block_sets(sets: DataFrame, text: str, n: int, parts: int) -> DataFrame:
+def _block_sets(sets: DataFrame, text: str, n: int) -> DataFrame:
     """Sets of about SETS documents in one row: block, ids, sizes, tokens."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keep.drop(scan)
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), text)
     chosen = asking.join(texts, F.col("__rep") == F.col("__id")).select("__id", "f1", text)
-    blocks = keep.table(_block_sets(chosen, text, n, parts))
+    blocks = keep.table(_block_sets(chosen, text, n))
     keep.free()
     counts = keep.table(summed_in_parts(_asked(blocks, parts), ranked=False))
     sets = keep.table(_candidates(blocks, counts, percent))
@@ -393,12 +393,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def _least(hashes: DataFrame, n: int) -> DataFrame:
-    """grp, id of the n least hashes of each group: in 64 shares of a group first, so no group is gathered in one task."""
+    """grp, id of the n least hashes of each group; a limit on hashes, from the group's size, leaves few to sort."""
 
-    def cut(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("h")), 1, n).alias("hs")).select("grp", F.explode("hs").alias("h"))
-
-    # a share keeps only hashes below a limit that leaves n of them in all but rare cases; a group with fewer keeps those it has
+    # about 4 n hashes are below the limit; should fewer than n be, there are fewer centres, which costs time at most
     sizes = hashes.groupBy("grp").agg(F.count("*").alias("m"))
     low = hashes.join(sizes, "grp").filter((F.shiftrightunsigned(F.col("h.h"), 1) / F.lit(float(2**63))) < F.lit(4.0 * n) / F.col("m")).select("grp", "h")
-    return cut(low, ["grp"]).select("grp", F.col("h.id").alias("id"))
+    return low.groupBy("grp").agg(F.slice(F.array_sort(F.collect_list("h")), 1, n).alias("hs")).select("grp", F.explode("hs").alias("h")).select("grp", F.col("h.id").alias("id"))

@@ -19,7 +19,6 @@ score are then 0; an empty table gives an empty one. Words are compared by 64-bi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -77,7 +76,7 @@ def backoff(sums: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray,
     return np.where(c > 0, left / np.maximum(1e-300, 1 - sums[:, CUT + 1]), 1.0), factor
 
 
-def _blocks(docs: DataFrame, parts: int) -> DataFrame:
+def _blocks(docs: DataFrame) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             flat, starts = words(b.column(2), lower=True)
@@ -275,7 +274,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     parts = max(48, -(-docs.count() // TEXTS_A_PART))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), (F.coalesce(bucket(F.col(doc_id), folds), F.lit(0)) == held).alias("held"), F.col(text).alias("text"))
     trained = rows.filter("not held").count()
-    blocks = keep.table(_blocks(rows, parts))
+    blocks = keep.table(_blocks(rows))
     counts = keep.table(summed_in_parts(_asked(blocks, parts)))
     facts = counts.filter("block is null").select("total", "place").toLocalIterator()
     seen, total = np.zeros(17, np.int64), 0
