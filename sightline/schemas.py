@@ -12,10 +12,13 @@ SENTINELS = ("unknown", "off_screen", "not_visible", "low_confidence")
 DECLINING = ("unknown", "low_confidence", "not_visible")
 REGION_KINDS = ("participant", "shared_content", "ui", "unknown")
 LAYOUT_SOURCES = ("recording", "assumed_shared", "manifest", "inferred")
-STORE_SCHEMA, STORE_VERSION, STORE_READABLE = "lookout.gaze", 2, (1, 2)
-RECORD_SCHEMA, RECORD_VERSION = "lookout.report", 1
+STORE_KIND, STORE_VERSION, STORE_READABLE = ".gaze", 2, (1, 2)
+RECORD_KIND, RECORD_VERSION = ".report", 1
 FACTORS = ("detection", "size", "openness", "head")
 
+#: What this engine writes; stores and records of any producer are read if the name ends with the kind.
+STORE_SCHEMA, RECORD_SCHEMA = "sightline" + STORE_KIND, "sightline" + RECORD_KIND
+
 HEAD_POSE = "struct<yaw:double,pitch:double,roll:double>"
 QUALITY = "struct<detection:double,size:double,openness:double,head:double>"
 TILE = "struct<kind:string,x:double,y:double,width:double,height:double>"

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RECORD_SCHEMA, RECORD_VERSION, REGION, STORE_READABLE, STORE_SCHEMA, schema
+from ..schemas import RECORD_KIND, RECORD_VERSION, REGION, STORE_KIND, STORE_READABLE, schema
 
 
 def _json(spark: SparkSession, path: str, name: str, recording_id: int, number: str | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def read_gaze(spark: SparkSession, path: str, recording_id: int = 0) -> DataFram
         first = json.loads(head[0]["value"]) if head else {}
     except ValueError:
         first = {}
-    if not isinstance(first, dict) or first.get("schema") != STORE_SCHEMA or first.get("version") not in STORE_READABLE:
+    if not isinstance(first, dict) or not str(first.get("schema")).endswith(STORE_KIND) or first.get("version") not in STORE_READABLE:
         raise ValueError(f"{path} isn't a readable store of gaze directions")
     body = lines.filter(F.get_json_object("value", "$.schema").isNull()).withColumn("obs_no", F.monotonically_increasing_id())
     s = type(schema("gaze_directions"))([f for f in schema("gaze_directions") if f.name not in ("recording_id", "obs_no")])
@@ -72,7 +72,7 @@ def read_record(spark: SparkSession, path: str) -> dict:
     """A run record: one document, read where the path's file system is."""
     text = "".join(r["value"] + "\n" for r in spark.read.option("wholetext", True).text(path).collect())
     doc = json.loads(text)
-    if doc.get("schema") != RECORD_SCHEMA or doc.get("version") != RECORD_VERSION:
+    if not str(doc.get("schema")).endswith(RECORD_KIND) or doc.get("version") != RECORD_VERSION:
         raise ValueError(f"{path} isn't a readable run record")
     return {k: doc.get(k) for k in ("schema", "version", "provenance", "config", "coverage", "diagnostics", "degradations", "identity_breaks", "timing", "results", "evaluation", "calibrations")}
 
