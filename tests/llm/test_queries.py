@@ -72,6 +72,15 @@ def test_clean_documents_are_kept(spark, documents):
     assert len(got) and good["kept"].mean() > 0.97
 
 
+def test_low_quality_is_mostly_rejected(spark):
+    d = "/root/testdata/sf0.01"
+    labels = pd.read_parquet(f"{d}/labels.parquet")
+    got = queries.op8_quality_rules(spark, d).toPandas().merge(labels, on="doc_id")
+    got = got[~got["base_failed"]]
+    low, good = got[got["quality"] == 0], got[got["quality"] == 1]
+    assert len(low) > 20 and low["kept"].mean() < 0.3 and good["kept"].mean() > 0.98
+
+
 def test_toxic_words(spark):
     labels = pd.read_parquet(f"{D}/labels.parquet")
     got = queries.op10_toxicity(spark, D).toPandas().merge(labels, on="doc_id")
