@@ -4,7 +4,8 @@ Script ranges narrow a word's candidates to the languages that the training text
 score the candidates; Viterbi with a penalty for each switch labels the words, and runs of a label are spans. A text's language is the
 one with most letters, and the score is its share of them.
 
-Learned from at most `most` labelled texts, chosen by a hash of their ids; a text whose language is null is never used.
+Learned from about `most` labelled texts, an equal share for each language (all texts of a language that has fewer), chosen by a hash of
+their ids; a text whose language is null is never used.
 Defined cases: a null text, or one without letters, is `und` with score 0 and has no spans; ties go to the language that sorts first;
 with nothing to learn from everything is `und`; rows are handled one by one, so repeated rows and ids and other columns don't matter.
 """
@@ -93,9 +94,10 @@ def _word_facts(text: pa.Array):
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most: int = SAMPLE) -> dict:
     """langs, log probabilities (BUCKETS rows, a column for each language) and which languages each script may be in."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    part = min(1.0, most / max(1, n))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1_000_000)) < math.ceil(part * 1_000_000)).select(text, lang)
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language, as in the model
+    part = {name: math.ceil(min(1.0, most / (len(sizes) * n)) * 1_000_000) for name, n in sizes.items()}
+    limit = F.create_map(*(F.lit(x) for kv in part.items() for x in kv))[F.col(lang)] if part else F.lit(0)
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1_000_000)) < limit).select(text, lang)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

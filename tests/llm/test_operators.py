@@ -249,6 +249,14 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(i, "the of and with this that", "en") for i in range(3000)] + [(9000 + i, "og ikke det som en av", "no") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs, F.lit(True), most=20)
+    assert m["langs"] == ["en", "no"]
+    assert langid.identify(docs.filter("lang = 'no'"), m).select("lang_pred").distinct().collect() == [("no",)]
+
+
 # Chat
 
 
