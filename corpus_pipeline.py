@@ -26,11 +26,12 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group that five-word shingles join at 0.8 or more; rows that repeat an id go too."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["__id"]).drop("__id")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One document, the one with the smallest id, of each group of texts that five-word shingles join at 0.8 or more; rows that repeat an id and its text go too."""
+    found = jaccard.text_classes(docs.select("doc_id", "text"), n=5, percent=80).filter("id is not null")
+    one = found.filter("cls is not null and id = first").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
+    first = one.unionByName(found.filter("cls is null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
+    kept = docs.withColumn("__h", F.xxhash64("text")).join(first.withColumnRenamed("__h", "__k"), (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__k")))
+    return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@
    a cohesive group in one step; sets that are outside the group's largest component then search all its other blocks.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own component; a text
-with fewer words than n is one n-gram; rows that share a doc_id are one node; a null doc_id has a null component and links with nothing;
+with fewer words than n is one n-gram; rows that share a doc_id are one node, whose texts are all searched; a null doc_id has a null component and links with nothing;
 other columns are ignored; an empty table gives an empty one. N-grams are counted and first matched by 64-bit hashes, and compared by
 the first 48 bits of those.
 """
@@ -89,7 +89,7 @@ def _first(flat: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts: int) -> DataFrame:
-    """kind 0: a document (id, size, f1, f2). kind 1: first n-grams of a part's range, with one set each. kind 2: a set (f1) that shares one."""
+    """kind 0: a document (id, a hash of its text, size, f1, f2). kind 1: first n-grams of a part's range, with one set each. kind 2: a set (f1) that shares one."""
 
     def shared(tok: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((fp, tok))
@@ -108,12 +108,12 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
             s = slice(cut[p], cut[p + 1])
             yield row(1, size=int(p), tok=tok[s].tobytes(), fp=fp[s].tobytes(), met=np.packbits(several[s]).tobytes())
         if len(mine):
-            yield pa.record_batch([pa.array(np.full(len(mine), 2, np.int32)), pa.nulls(len(mine), pa.int64()), pa.nulls(len(mine), pa.int64()), pa.array(mine), *(pa.nulls(len(mine), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+            yield pa.record_batch([pa.array(np.full(len(mine), 2, np.int32)), pa.nulls(len(mine), pa.int64()), pa.nulls(len(mine), pa.int64()), pa.array(mine), *(pa.nulls(len(mine), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary())), pa.nulls(len(mine), pa.int64())], names=names)
 
-    names = ["kind", "id", "size", "f1", "f2", "tok", "fp", "met"]
+    names = ["kind", "id", "size", "f1", "f2", "tok", "fp", "met", "h"]
 
     def row(kind: int, size: int, tok: bytes, fp: bytes, met: bytes) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([kind], pa.int32()), pa.nulls(1, pa.int64()), pa.array([size], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tok], pa.binary()), pa.array([fp], pa.binary()), pa.array([met], pa.binary())], names=names)
+        return pa.record_batch([pa.array([kind], pa.int32()), pa.nulls(1, pa.int64()), pa.array([size], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tok], pa.binary()), pa.array([fp], pa.binary()), pa.array([met], pa.binary()), pa.nulls(1, pa.int64())], names=names)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks, fps, held = [], [], 0
@@ -121,7 +121,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
             flat, starts = shingle_sets(b.column(1), n)
             f1, f2 = fingerprints(flat, starts)
             m = b.num_rows
-            yield pa.record_batch([pa.array(np.zeros(m, np.int32)), b.column(0), pa.array(np.diff(starts)), pa.array(f1), pa.array(f2), *(pa.nulls(m, pa.binary()) for _ in range(3))], names=names)
+            yield pa.record_batch([pa.array(np.zeros(m, np.int32)), b.column(0), pa.array(np.diff(starts)), pa.array(f1), pa.array(f2), *(pa.nulls(m, pa.binary()) for _ in range(3)), b.column(2)], names=names)
             at, owner = _first(flat, starts, percent)
             toks.append(flat[at])
             fps.append(f1[owner])
@@ -132,7 +132,8 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
         if held:
             yield from shared(np.concatenate(toks), np.concatenate(fps))
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(work, "kind int, id long, size long, f1 long, f2 long, tok binary, fp binary, met binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias(text), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(work, "kind int, id long, size long, f1 long, f2 long, tok binary, fp binary, met binary, h long")
 
 
 def _sharing(scan: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def _block_sets(sets: DataFrame, text: str, n: int) -> DataFrame:
 
         for b in sliced(batches, text):
             flat, starts = shingle_sets(b.column(2), n)
-            same = fingerprints(flat, starts)[0] == b.column(1).to_numpy()  # of rows that share an id, the one that is meant
+            same = fingerprints(flat, starts)[0] == b.column(1).to_numpy()  # of rows that share an id and a hash, the one that is meant
             size = np.diff(starts)
             ids.append(b.column(0).to_numpy()[same])
             sizes.append(size[same])
@@ -337,18 +338,21 @@ def _links(rows: DataFrame, percent: int, known: bool) -> DataFrame:
     return rows.select(*key, "id", "size", "role", "root", "set").repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row. Two documents link when 100 * overlap >= percent * union."""
+def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """id, h (xxhash64 of the text), size, cls, first: one row for each row. cls numbers the texts that links join, and first is the
+    smallest id that one of them has; null where the set is empty. Ids join nothing here. Two texts link when 100 * overlap >= percent * union."""
     keep = Scratch(docs.sparkSession)
     total = docs.count()
     parts = max(48, -(-total // DOCS_A_PART))
     scan = keep.table(_scan(docs, doc_id, text, n, percent, parts))
-    known = keep.table(scan.filter("kind = 0").select("id", "size", "f1", "f2"), total)
-    reps = keep.table(known.filter("size > 0 and id is not null").groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), total)
-    asking = keep.table(reps.join(_sharing(scan), "f1", "left_semi").select(F.col("rep").alias("__rep"), "f1").dropDuplicates(["__rep"]), total)
+    known = keep.table(scan.filter("kind = 0").select("id", "h", "size", "f1", "f2"), total)
+    # sets have numbers of their own, as rows that share an id may have several
+    reps = known.filter("size > 0 and id is not null").groupBy("f1", "f2", "size").agg(F.min(F.struct("id", "h")).alias("rep"))
+    reps = keep.table(reps.select("f1", "f2", "size", F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"), F.monotonically_increasing_id().alias("num")), total)
+    asking = keep.table(reps.join(_sharing(scan), "f1", "left_semi").select("num", F.col("rep").alias("__id"), F.col("rep_h").alias("__h"), "f1"), total)
     keep.drop(scan)
-    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), text)
-    chosen = asking.join(texts, F.col("__rep") == F.col("__id")).select("__id", "f1", text)
+    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(text).alias("__h"), text)
+    chosen = asking.join(texts, ["__id", "__h"]).select("num", "f1", text)
     blocks = keep.table(_block_sets(chosen, text, n))
     keep.free()
     counts = keep.table(summed_in_parts(_asked(blocks, parts), ranked=False))
@@ -386,10 +390,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             index = root.join(qs, "grp").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("role", F.lit(0).cast("long")).drop("qs")
             links = keep.table(links.unionByName(_links(ask.unionByName(index), percent, known=True)))
     comp = components(links)
-    named = keep.table(reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("component_id", "rep").alias("component_id")), total)
+    named = keep.table(reps.join(comp.withColumnRenamed("node", "num"), "num", "left").select("f1", "f2", "size", "rep", F.coalesce("component_id", "num").alias("cls")), total)
     keep.drop(dealt)
-    out = known.join(named, ["f1", "f2", "size"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    first = named.groupBy("cls").agg(F.min("rep").alias("first"))
+    named = keep.table(named.join(first, "cls").select("f1", "f2", "size", "cls", "first"), total)
+    has = F.col("id").isNotNull()
+    return known.join(named, ["f1", "f2", "size"], "left").select("id", "h", "size", F.when(has, F.col("cls")).alias("cls"), F.when(has, F.col("first")).alias("first"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row. Documents link where two of their texts do."""
+    keep = Scratch(docs.sparkSession)
+    rows = keep.table(text_classes(docs, doc_id, text, n, percent).select("id", "size", "cls", "first"), docs.count())
+    # ids whose rows are of several classes, or of a class and without a set
+    ids = rows.filter("id is not null").groupBy("id").agg(F.min("cls").alias("m"), F.max("cls").alias("most"), F.count("*").alias("all"), F.count("cls").alias("some"))
+    several = keep.table(ids.filter("most > m or (some > 0 and all > some)").select("id", "m"), docs.count())
+    if not several.isEmpty():
+        joined = components(rows.join(several, "id").filter("cls != m").select(F.col("cls").alias("a"), F.col("m").alias("b")).distinct())
+        rows = rows.join(several, "id", "left").withColumn("cls", F.coalesce("cls", "m")).drop("m", "first")
+        rows = keep.table(rows.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("id", "size", F.coalesce("component_id", "cls").alias("cls")), docs.count())
+        rows = rows.join(rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first")), "cls", "left")
+    return rows.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
 
 
 def _least(hashes: DataFrame, n: int) -> DataFrame:

@@ -383,6 +383,15 @@ def test_jaccard(docs, corpus, none, n, percent, block, monkeypatch):
     assert jaccard.jaccard_components(none, n=n, percent=percent).count() == 0
 
 
+def test_rows_that_share_an_id_are_all_searched(spark):
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    rows = [(5, a), (5, b), (7, a), (8, b), (5, None), (9, c), (9, d), (10, d), (10, d), (11, None), (11, None), (3, b), (None, c)]
+    want = slow_jaccard(rows, 5, 80)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == sorted((i, want[i][1]) for i, _ in rows if i)
+
+
 def test_search_loses_no_component():
     rng = np.random.default_rng(9)
     for _ in range(40):

@@ -93,6 +93,13 @@ def test_mix_stays_in_bounds(spark, documents):
     assert got.groupby("source")["target"].first().sum() == pytest.approx(got["size"].sum())
 
 
+def test_only_copies_of_a_text_are_near_copies(spark):
+    texts = [" ".join(f"{k}w{i}" for i in range(40)) for k in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (4, None), (4, None), (4, texts[0]), (None, texts[2])]
+    got = corpus_pipeline.remove_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, texts[0]), (1, texts[1]), (3, texts[2]), (4, None), (None, texts[2])]))
+
+
 def test_pipeline(spark, documents):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     seen = collections.OrderedDict()
