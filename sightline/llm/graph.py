@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ROUNDS = 60
-
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node that isn't the least of its component, and that least one."""
@@ -60,7 +58,7 @@ def components(links: DataFrame) -> DataFrame:
     schema = "a long, b long"
     now = keep.table(links.select("a", "b").filter("a != b").mapInArrow(_thin, schema).repartition(F.col("a")).mapInArrow(_thin, schema))
     n, before = now.count(), None  # a round never has more links than the first one
-    for _ in range(ROUNDS):
+    while True:  # until links stop changing: each is then one to the least node of its component
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()

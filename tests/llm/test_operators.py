@@ -348,6 +348,13 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_are_whole_after_any_number_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 1, raising=False)
+    monkeypatch.setattr(graph, "_thin", lambda batches: batches)
+    chain = [(k, k + 1) for k in range(100)]
+    assert {r.component_id for r in graph.components(spark.createDataFrame(chain, "a long, b long").repartition(6)).collect()} == {0}
+
+
 # Jaccard
 
 
