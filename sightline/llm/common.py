@@ -29,9 +29,11 @@ ROWS_A_FILE = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one, on one machine only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sightline-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -86,6 +88,28 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_results(names: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The columns that stay: all but those named like a result, which takes their place."""
+    gone = {r.lower() for r in results}
+    return [c for c in names if c.lower() not in gone]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -155,13 +179,13 @@ def parts_for(df: DataFrame, rows_each: int, least: int = 1) -> int:
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their first `keys` columns (whole numbers), as one batch for each distinct key."""
+    """Rows sorted by their first `keys` columns (whole numbers or strings, none null), as one batch for each distinct key."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(i).to_numpy() for i in range(keys)]
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
         new = np.ones(b.num_rows, bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
         edges = [*np.flatnonzero(new), b.num_rows]

@@ -322,12 +322,21 @@ def test_vectors(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(300, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    base, factor, _ = vectors.encode(x, 8, 2)
-    est, wide = vectors.estimate(base, factor, base)
-    off = (est - x @ x.T)[~np.eye(300, dtype=bool)]
-    assert abs(off.mean()) < 0.003 and (np.abs(est - x @ x.T) <= wide + 1e-9).mean() > 0.999
+    x = vectors.unit(rng.normal(size=(300, 64)))
+    y = vectors.unit(x + rng.normal(0, 0.02, x.shape))
+    a, b = vectors.encode(x), vectors.encode(y)
+    assert a.code.nbytes + a.planes.nbytes <= x.nbytes / 4
+    est, wide = vectors.estimate(a, b, 128)
+    off = est - x @ y.T
+    assert abs(off.mean()) < 0.003
+    near = np.diag(x @ y.T) >= 0.98
+    assert near.mean() > 0.5 and (np.diag(est + wide)[near] >= 0.98).all() and ((est + wide >= 0.98).mean()) < 0.01
+
+
+def test_large_and_small_components_are_scaled(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [-1.0, 2.0], 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
 
 
 def test_components(spark):
