@@ -209,9 +209,9 @@ def split_by_part(keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
 def summed_in_parts(rows: DataFrame, ranked: bool = True) -> DataFrame:
     """block, part, keys (packed differences of sorted keys), n (packed, for each key) -> block, part, total and place (packed, for each key).
 
-    total is a key's sum over all blocks, place its rank in its part by falling total. A block has a key once at most, so no key is
-    more than one entry for each block. One more row for each part, of a null block, has in total how many keys have sums 0 to 15
-    and in place the sum.
+    total is a key's sum over all blocks; place is its rank in its part by falling total, or, where not ranked, how many blocks have it.
+    A block has a key once at most, so no key is more than one entry for each block. One more row for each part, of a null block, has in
+    total how many keys have sums 0 to 15 and more, and in place the sum.
     """
 
     def add(t: pa.Table) -> pa.Table:
@@ -221,13 +221,16 @@ def summed_in_parts(rows: DataFrame, ranked: bool = True) -> DataFrame:
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         u, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
-        rank = np.zeros(len(u), np.int64)
         if ranked:
+            rank = np.empty(len(u), np.int64)
             rank[np.argsort(-total, kind="stable")] = np.arange(len(u))
+        else:
+            rank = np.bincount(at, minlength=len(u))
         facts = np.bincount(np.minimum(total, 16), minlength=17)
         totals, places = ([pack(x) for x in np.split(y[at], cuts)] for y in (total, rank))
+        part = t.column("part")[0].as_py()
         return pa.table({
-            "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "part": pa.array([*t.column("part").to_pylist(), t.column("part")[0].as_py()], pa.int32()),
+            "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "part": pa.array([part] * (t.num_rows + 1), pa.int32()),
             "total": pa.array([*totals, pack(facts)], pa.binary()), "place": pa.array([*places, pack(np.array([total.sum()]))], pa.binary()),
         })
 

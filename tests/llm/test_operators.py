@@ -161,52 +161,76 @@ def test_a_run_of_equal_lines_keeps_three(spark):
 # Katz
 
 
-def slow_katz(rows):
+def slow_katz(rows, order):
+    """The model as dictionaries: p(context, word) by plain recursion."""
     train = [W.findall(lower(t or "")) + ["</s>"] for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
-    uni, big = collections.Counter(w for d in train for w in d), collections.Counter((a, b) for d in train for a, b in zip(["<s>", *d], d))
-    ctx = collections.Counter(a for d in train for a in ["<s>", *d][:-1])
-    total = sum(uni.values())
-    nr = lambda c: np.bincount([min(x, 9) for x in c.values()], minlength=10)
-    d1, d2 = katz.discounts(nr(uni)), katz.discounts(nr(big))
-    unk = sum((1 - d1[r]) * r * nr(uni)[r] for r in range(1, 6)) / total
-    p1 = lambda w: d1[min(uni[w], 6)] * uni[w] / total if w in uni else unk
+    count = {k: collections.Counter() for k in range(1, order + 1)}
+    for d in train:
+        d = ["<s>"] * (order - 1) + d
+        for i in range(order - 1, len(d)):
+            for k in range(1, order + 1):
+                count[k][tuple(d[i - k + 1 : i + 1])] += 1
+    total = sum(count[1].values())
+    nr = {k: np.bincount([min(x, 9) for x in c.values()], minlength=10) for k, c in count.items()}
+    d = {k: katz.discounts(n) for k, n in nr.items()}
     after = collections.defaultdict(list)
-    for (a, b), r in big.items():
-        after[a].append((b, r))
-
-    def weights(a):
-        c, few = ctx[a], sum((1 - d2[min(r, 6)]) * r for _, r in after[a])
+    for k in range(2, order + 1):
+        for g, r in count[k].items():
+            after[g[:-1]].append((g[-1], r))
+
+    def p(context, w):
+        if not context:
+            return d[1][min(count[1][w,], 6)] * count[1][w,] / total if count[1][w,] else sum((1 - d[1][r]) * r * nr[1][r] for r in range(1, 6)) / total
+        seen, k = after.get(context), len(context) + 1
+        if not seen:
+            return p(context[1:], w)
+        c, few = sum(r for _, r in seen), sum((1 - d[k][min(r, 6)]) * r for _, r in seen)
         factor, left = (1.0, few / c) if few > 0 else (c / (c + 1), 1 / (c + 1))
-        return factor, left / (1 - sum(p1(b) for b, _ in after[a]))
-
-    def p(a, b):
-        if not ctx[a]:
-            return p1(b)
-        factor, alpha = weights(a)
-        r = big[a, b]
-        return factor * d2[min(r, 6)] * r / ctx[a] if r else alpha * p1(b)
-
-    return uni, total, ctx, p, p1, unk
-
-
-def test_katz(docs, corpus, none):
-    uni, total, ctx, p, p1, unk = slow_katz([(r[0], r[1]) for r in corpus])
-    got = katz.katz_scores(docs).collect()
+        r = count[k][(*context, w)]
+        if r:
+            return factor * d[k][min(r, 6)] * r / c
+        if context not in alpha:
+            alpha[context] = left / (1 - sum(p(context[1:], x) for x, _ in seen))
+        return alpha[context] * p(context[1:], w)
+
+    alpha = {}
+    return count, total, after, p
+
+
+@pytest.mark.parametrize("order, least", [(3, 4), (3, 40), (2, 40), (4, 40)])
+def test_katz(docs, corpus, none, order, least, monkeypatch):
+    monkeypatch.setattr(katz, "LEAST", least)  # the more parts, the more words are hot
+    count, total, after, p = slow_katz([(r[0], r[1]) for r in corpus], order)
+    got = katz.katz_scores(docs, order=order).collect()
     assert len(got) == len(corpus)
     by = collections.defaultdict(list)
     for i, t, *_ in corpus:
         ws = W.findall(lower(t or "")) + ["</s>"]
-        base = sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))) for w in ws)
-        by[i].append((len(ws), sum(w in uni for w in ws), round(base, 6), round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *ws], ws)), 6)))
+        base = sum(math.log10((count[1][w,] + 0.1) / (total + 0.1 * (len(count[1]) + 1))) for w in ws)
+        full = ["<s>"] * (order - 1) + ws
+        by[i].append((len(ws), sum((w,) in count[1] for w in ws), base, sum(math.log10(p(tuple(full[k : k + order - 1]), w)) for k, w in enumerate(ws))))
     have = collections.defaultdict(list)
     for r in got:
         assert r.train_tokens == total and r.held_out == (zlib.crc32((str(r.doc_id) if r.doc_id is not None else "").encode()) % 10 == 0)
-        have[r.doc_id].append((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)))
+        have[r.doc_id].append((r.n_tokens, r.n_known, r.base_score, r.score))
     for k in by:
-        assert np.allclose(sorted(by[k]), sorted(have[k]), atol=2e-5)
-    for a in [*list(ctx)[:40], "<s>", "never seen"]:  # exactly normalised over the known words and the unknown one
-        assert sum(p(a, b) for b in uni) + p(a, "never seen") == pytest.approx(1.0)
-    assert katz.katz_scores(none).count() == 0
+        assert np.allclose(sorted(by[k]), sorted(have[k]), rtol=1e-9, atol=1e-7)
+    for a in [*list(after)[:40], *list(after)[-40:], ("never seen",) * (order - 1)]:  # exactly normalised over the known words and the unknown one
+        assert sum(p(a, b) for (b,) in count[1]) + p(a, "never seen") == pytest.approx(1.0)
+    assert katz.katz_scores(none, order=order).count() == 0
+
+
+def test_a_trained_model_scores_other_texts(docs, corpus, none, monkeypatch):
+    monkeypatch.setattr(katz, "LEAST", 20)
+    want = {r.doc_id: r for r in katz.katz_scores(docs.filter("doc_id < 70")).collect()}
+    learn = [i for i in want if not want[i].held_out]
+    model = katz.train(docs.filter(F.col("doc_id").isin(learn)).select("doc_id", "text"))
+    got = katz.score(docs.filter("doc_id < 70"), model).collect()
+    assert len(got) == docs.filter("doc_id < 70").count()
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known, want[r.doc_id].train_tokens)
+        assert r.score == pytest.approx(want[r.doc_id].score) and r.base_score == pytest.approx(want[r.doc_id].base_score)
+    assert katz.score(none, model).count() == 0 and {r.score for r in katz.score(docs, katz.train(none)).collect()} == {0.0}
 
 
 def test_discounts_follow_good_turing():
