@@ -464,35 +464,44 @@ def _parts(rows: DataFrame) -> int:
     return max(LEAST, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // PART))
 
 
-def _learned(rows: DataFrame, order: int, keep: Scratch) -> tuple:
+def _vocabulary(blocks: DataFrame, parts: int) -> DataFrame:
+    """Words and their counts as cells of a trained model, one for each part."""
+
+    def one_row(t: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([unpack(x.as_py()) for x in t.column("n")]), minlength=len(u)).astype(np.int64)
+        return pa.table({
+            "block": pa.array([MODEL], pa.int64()), "part": pa.array([t.column("part")[0].as_py()], pa.int32()),
+            "keys": pa.array([pack(np.diff(u, prepend=np.uint64(0)))], pa.binary()), "n": pa.array([pack(n)], pa.binary()),
+        })
+
+    return _word_cells(blocks, parts).groupBy("part").applyInArrow(one_row, "block long, part int, keys binary, n binary")
+
+
+def _learned(rows: DataFrame, order: int, keep: Scratch, vocabulary: bool = False) -> tuple:
     parts = _parts(rows)
     trained = rows.filter("not held").count()
     blocks = keep.table(_blocks(rows))
     counts = _word_counts(blocks, parts, keep)
     one = _unigrams(counts)
     numbered = keep.table(_numbered(blocks, counts, parts, one))
-    keep.drop(counts)
+    known = keep.table(_vocabulary(blocks, parts)) if vocabulary else None
+    keep.drop(blocks, counts)
     deal = Deal(order, parts, max(1.0, one.total / parts), trained)
     met = keep.table(_met(_gram_cells(numbered, deal)))
     side, bigrams = _hot_tables(met, deal, one, keep)
     seen = _counts_of_counts(met, deal)
     seen[2] += bigrams
-    return blocks, numbered, deal, one, {k: discounts(n) for k, n in seen.items()}, met, side
+    return known, numbered, deal, one, {k: discounts(n) for k, n in seen.items()}, met, side
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> Model:
     """A model of all texts, in tables of the shared folder."""
     keep = Scratch(docs.sparkSession)
-    blocks, numbered, deal, one, d, met, side = _learned(_rows(docs, doc_id, text, F.lit(False)), order, keep)
-    def one_row(t: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
-        u, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([unpack(x.as_py()) for x in t.column("n")]), minlength=len(u)).astype(np.int64)
-        return pa.table({"block": pa.array([MODEL], pa.int64()), "part": pa.array([t.column("part")[0].as_py()], pa.int32()), "keys": pa.array([pack(np.diff(u, prepend=np.uint64(0)))], pa.binary()), "n": pa.array([pack(n)], pa.binary())})
-
-    known = keep.table(_word_cells(blocks, deal.parts).groupBy("part").applyInArrow(one_row, "block long, part int, keys binary, n binary"))
+    known, numbered, deal, one, d, met, side = _learned(_rows(docs, doc_id, text, F.lit(False)), order, keep, vocabulary=True)
     grams = keep.table(met.select(F.lit(MODEL).cast("long").alias("block"), "part", "data"))
-    keep.drop(blocks, numbered, met, side)
+    keep.drop(numbered, met, side)
     return Model(deal, one, d, known, grams)
 
 
@@ -517,8 +526,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     """
     keep = Scratch(docs.sparkSession)
     rows = _rows(docs, doc_id, text, F.coalesce(bucket(quoted(doc_id), folds), F.lit(0)) == held)
-    blocks, numbered, deal, one, d, met, side = _learned(rows, order, keep)
-    keep.drop(blocks)
+    _, numbered, deal, one, d, met, side = _learned(rows, order, keep)
     answers = keep.table(_answers(met, side, deal, one, d))
     keep.drop(met, side)
     return _scored(numbered, answers, deal, one.total)
