@@ -467,7 +467,7 @@ def test_search_loses_no_component():
 def test_rule_counts():
     rng = random.Random(10)
     texts = HARD + [prose(rng, 60, 12) + "\n#$x\n#$x" for _ in range(30)]
-    s = quality.rule_stats(pa.array(texts))
+    s = quality.rule_stats(pa.array(texts), *common.words(pa.array(texts)))
     for k, t in enumerate(texts):
         t = t or ""
         w, seen, dup = W.findall(t), set(), 0
@@ -480,21 +480,77 @@ def test_rule_counts():
         assert [int(s[x][k]) for x in quality.STATS] == [len(w), sum(map(len, w)), sum(ch in quality.MARKS for ch in t), dup, len(cover)]
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(11)
-    counts = np.zeros(quality.CELLS, np.int64)
-    np.add.at(counts, rng.zipf(1.3, 20_000) * 7919 % quality.CELLS, 1)
-    m = quality.fit(counts)
-    ctx = np.concatenate([np.unique(np.flatnonzero(counts) // quality.SYMBOLS)[:50], [12345, 777]])
-    p = quality.probability(m, (ctx[:, None] * quality.SYMBOLS + np.arange(quality.SYMBOLS)).ravel()).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(p.sum(1), 1.0, atol=1e-4) and (p > 0).all()
-
-
-def test_grams_are_counted_once_each(docs, corpus):
-    total = quality.count_grams(docs)
-    assert total.sum() == sum(len(r[1] or "") for r in corpus)
-    code, starts = quality.grams(pa.array(["ab", None, "b"]))
-    assert code.tolist() == [1, 1 * 40 + 2, 2] and starts.tolist() == [0, 2, 2, 3]
+def slow_kneser_ney(texts, size):
+    """Dictionaries of one language: p(context, symbol), with n-grams below a share 1 / size left to backoff."""
+    seqs = [w + "\0" for t in texts for w in W.findall(t)]
+    top = collections.Counter(("\0" * 3 + s)[i : i + 4] for s in seqs for i in range(len(s)))
+    count = {4: top}
+    for o in (3, 2, 1):
+        count[o] = collections.Counter(g[1:] for g in count[o + 1])
+    cut, after = {}, collections.defaultdict(list)
+    for o, c in count.items():
+        n = collections.Counter(c.values())
+        d = [0.5] * 3
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+            d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+        rare = sum(c.values()) / size
+        for g, r in c.items():
+            cut[g] = r if r < rare else d[min(r, 3) - 1]
+            after[g[:-1]].append((r, cut[g]))
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        o, lower = len(g), p(g[1:])
+        seen = after.get(g[:-1])
+        if not seen:
+            return lower
+        total = sum(r for r, _ in seen)
+        weight = sum(d for _, d in seen) / total
+        return max(0, count[o].get(g, 0) - cut.get(g, 0)) / total + weight * lower
+
+    return p, count
+
+
+@pytest.mark.parametrize("size", [1 << 23, 1 << 10])
+def test_quality_equals_dictionaries(spark, size, monkeypatch):
+    monkeypatch.setattr(quality.kneser_ney, "__defaults__", (size,))
+    rng = random.Random(21)
+    vocab = {"en": [prose(rng, 1, 900) + rng.choice(["ing", "ed", "Straße", "."]) for _ in range(300)], "ja": ["".join(rng.choice("日本語のテキストをよむ") for _ in range(rng.randrange(1, 6))) for _ in range(200)], None: ["alpha", "beta\0", "𝒳y"]}
+    rows = [(i, " ".join(rng.choice(vocab[k]) for _ in range(rng.randrange(30, 140))), k) for i, k in enumerate(["en"] * 60 + ["ja"] * 40 + [None] * 10)]
+    rows += [(200, None, "en"), (201, "few", "xx"), (202, " ".join("".join(rng.choice("日本語") for _ in range(9)) + str(k) for k in range(80)), "ja"), (203, rows[0][1], "en"), (203, rows[0][1], "en"), (204, rows[1][1].replace(" ", "### "), "en")]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = W.findall(r.text or "")
+        c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = len({i + j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in range(3)})
+        assert r.base_failed == (len(w) < 50 or 100 * again > 50 * len(w))
+    ppl = collections.defaultdict(list)
+    for k in ("en", "ja", None):
+        learned = lambda r: not r.base_failed and 100 * sum(c in quality.MARKS for c in r.text) <= sum(map(len, W.findall(r.text)))
+        p, count = slow_kneser_ney([r.text for r in got if r.lang == k and learned(r)], size / len({r.lang for r in got if learned(r)}))
+        for c in [*list(count[3])[:8], "", *list(count[1])[:4]]:  # sums to one over all symbols: those not seen share one probability
+            seen = [g for g in count[1]]
+            assert sum(p(c + x) for x in seen) + (65536 - len(seen)) * p(c + "\u2603") == pytest.approx(1.0)
+        for r in got:
+            if r.lang == k and r.text:
+                seqs = [w + "\0" for w in W.findall(r.text)]
+                want = -sum(math.log(p(("\0" * 3 + s)[i : i + 4])) for s in seqs for i in range(len(s))) / sum(map(len, seqs))
+                assert math.log(r.perplexity) == pytest.approx(want, rel=1e-5)
+                if not r.base_failed:
+                    ppl[k].append((want, r.kept))
+    for k, x in ppl.items():
+        low, mid, high = np.quantile([v for v, _ in x], [0.25, 0.5, 0.75])
+        half = quality.WIDE * max(0.02, (high - low) / 1.349)
+        for v, kept in x:
+            if abs(abs(v - mid) - half) > 0.01:
+                assert kept == (abs(v - mid) <= half)
+    assert sum(r.kept for r in got) > 60
+    if size > 1 << 20:  # noise of the language's own characters, and symbols
+        assert not any(r.kept for r in got if r.doc_id in (202, 204))
 
 
 def test_bands_reject_noise(spark, docs, none):
