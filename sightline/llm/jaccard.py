@@ -4,7 +4,10 @@
 2. A pair at or above the limit overlaps in at least T = ceil(limit * size) n-grams of either set, so it shares one of the size - T + 1
    n-grams that come first in any global order. In hash order, those of all sets are counted once: a set that shares none is alone.
 3. For the sets that are left, all n-grams are counted. A set with less than T shared ones is alone. The others are ordered by rising
-   frequency, and sets that share one of their first size - T + 1 n-grams come into one group: no link leaves a group.
+   frequency, and sets that share one of their first size - T + 1 n-grams come into one group. Where that joins many sets by n-grams that
+   are few but occur by chance, groups fall apart again: n-grams are dealt into so many classes that a pair at the limit must agree on
+   all n-grams of some classes, however its differences fall (see `signatures`), and only sets of one group that share the content of a
+   class stay together. No link leaves a group.
 4. Inside a group, each set is a query against an inverted index of the sets before it, in the order of size. Its L longest lists are
    put aside, the others are merged, and sets that occur T - L times or more in them are probed for in the long lists by binary search
    and kept if they reach the overlap. A set already in the query's component needs no second link, and where few are outside it they are
@@ -33,8 +36,10 @@ from .graph import components
 #: Bits of an n-gram's hash by which sets are stored and compared after the first pass.
 SHORT = 48
 #: N-grams in a block of a group, sets that all blocks of a group share, sets that are counted as one block.
-BLOCK, CENTRES, SETS = 600_000, 24, 2000
+BLOCK, CENTRES, SETS = 150_000, 24, 2000
 DOCS_A_PART = 1500
+#: N-grams that make a class of a signature strong.
+STRONG = 2
 
 
 def needed(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -209,11 +214,40 @@ def _asked(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.select("block", "sizes", "tokens").mapInArrow(work, "block long, part int, keys binary, n binary")
 
 
+def size_classes(most: int, percent: int) -> np.ndarray:
+    """Where classes of sizes begin, up to one beyond `most`: partners are of one class or of two next to each other."""
+    out = [1]
+    while out[-1] <= most or len(out) < 4:
+        out.append(100 * out[-1] // percent + 1)
+    return np.array([*out, 100 * out[-1] // percent + 1])
+
+
+def signatures(tokens: np.ndarray, alone: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of which any two linked sets share one. alone: n-grams that no other set has.
+
+    Two linked sets of sizes a and b differ in k = (a + b)(100 - percent) / (100 + percent) n-grams at most. Dealt into m > k classes by
+    their hashes, at least m - k classes agree. A set deals for its own class of sizes and for the next one, so that a pair meets where
+    k is bounded by the larger size. A class of less than STRONG n-grams says little, and is only named by a set with m - k such classes
+    or more: where all agreeing classes of a pair are weak, both sets have so many.
+    """
+    own, out = int(np.searchsorted(classes, len(tokens), "right")) - 1, []
+    for tag in (own, own + 1):
+        k = 2 * (int(classes[tag + 1]) - 1) * (100 - percent) // (100 + percent)
+        m = 1 + k + k // 4
+        at = (mixed(tokens + np.uint64(tag << 50)) % np.uint64(m)).astype(np.int64)
+        content, many, bad = np.zeros(m, np.uint64), np.bincount(at, minlength=m), np.zeros(m, bool)
+        np.add.at(content, at, mixed(tokens + np.uint64(1)))
+        bad[at[alone]] = True  # a class with an n-gram of its own agrees with nobody
+        named = ~bad if (many < STRONG).sum() >= m - k else ~bad & (many >= STRONG)
+        out.append(mixed(content[named] ^ mixed(np.flatnonzero(named).astype(np.uint64) + np.uint64(tag << 40))))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
 def _candidates(blocks: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """id, size, set (only n-grams that occur in other sets), first (those of them that come first by frequency)."""
+    """id, size, set (only n-grams that occur in other sets), first (those of them that come first by frequency), signs (signatures)."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"id": [], "size": [], "set": [], "first": []}
+        rows: dict[str, list] = {"id": [], "size": [], "set": [], "first": [], "signs": []}
         parts = sorted(zip(right.column("part").to_pylist(), right.column("total")), key=lambda x: x[0])
         total = np.concatenate([unpack(t.as_py()) for _, t in parts]) if parts else np.zeros(0, np.uint64)
         for ids, sizes, tokens in zip(left.column("ids"), left.column("sizes"), left.column("tokens")):
@@ -222,6 +256,7 @@ def _candidates(blocks: DataFrame, counts: DataFrame, percent: int) -> DataFrame
             df = total[np.unique(tokens, return_inverse=True)[1]]
             starts = np.concatenate([[0], np.cumsum(sizes)])
             enough = np.add.reduceat(df > 1, starts[:-1]) >= needed(sizes, percent)
+            classes = size_classes(int(sizes.max(initial=1)), percent)
             for i in np.flatnonzero(enough):
                 a, b = starts[i], starts[i + 1]
                 d, t = df[a:b], tokens[a:b]
@@ -230,9 +265,11 @@ def _candidates(blocks: DataFrame, counts: DataFrame, percent: int) -> DataFrame
                 rows["size"].append(int(sizes[i]))
                 rows["set"].append(t[d > 1].tobytes())
                 rows["first"].append(t[order][d[order] > 1].view(np.int64))
-        return pa.table([pa.array(rows["id"], pa.int64()), pa.array(rows["size"], pa.int64()), pa.array(rows["set"], pa.binary()), pa.array(rows["first"], pa.list_(pa.int64()))], names=["id", "size", "set", "first"])
+                rows["signs"].append(signatures(t, d < 2, classes, percent))
+        kinds = {"id": pa.int64(), "size": pa.int64(), "set": pa.binary(), "first": pa.list_(pa.int64()), "signs": pa.list_(pa.int64())}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
-    return blocks.groupBy("block").cogroup(counts.filter("block is not null").select("block", "part", "total").groupBy("block")).applyInArrow(work, "id long, size long, set binary, first array<long>")
+    return blocks.groupBy("block").cogroup(counts.filter("block is not null").select("block", "part", "total").groupBy("block")).applyInArrow(work, "id long, size long, set binary, first array<long>, signs array<long>")
 
 
 def search(sizes: np.ndarray, sets: list[np.ndarray], percent: int, root: np.ndarray | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -338,6 +375,13 @@ def _links(rows: DataFrame, percent: int, known: bool) -> DataFrame:
     return rows.select(*key, "id", "size", "role", "root", "set").repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a long, b long")
 
 
+def _grouped(ids: DataFrame, tokens: DataFrame) -> DataFrame:
+    """id, grp: sets joined by shared tokens (id, t), each group named by its smallest id."""
+    least = tokens.groupBy("t").agg(F.min("id").alias("m"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    links = components(tokens.join(least, "t").select(F.col("id").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+    return ids.join(links.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("grp"))
+
+
 def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """id, h (xxhash64 of the text), size, cls, first: one row for each row. cls numbers the texts that links join, and first is the
     smallest id that one of them has; null where the set is empty. Ids join nothing here. Two texts link when 100 * overlap >= percent * union."""
@@ -359,10 +403,13 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     sets = keep.table(_candidates(blocks, counts, percent))
     keep.drop(blocks, counts)
     tokens = keep.table(sets.select("id", F.explode("first").alias("t")))
-    least = tokens.groupBy("t").agg(F.min("id").alias("m"), F.count("*").alias("c")).filter("c > 1")
-    rough = components(tokens.join(least, "t").select(F.col("id").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+    by_first = _grouped(sets.select("id"), tokens)
     keep.drop(tokens)
-    grouped = keep.table(sets.select("id", "size").join(rough.withColumnRenamed("node", "id"), "id", "left").select("id", "size", F.coalesce("component_id", "id").alias("grp")), total)
+    several = by_first.join(by_first.groupBy("grp").count().filter("count > 1").drop("count"), "grp")
+    signs = keep.table(sets.select("id", "signs").join(several, "id").select("id", F.explode("signs").alias("s"), "grp").select("id", F.xxhash64("grp", "s").alias("t")))
+    rough = _grouped(several.select("id"), signs)
+    keep.drop(signs)
+    grouped = keep.table(sets.select("id", "size").join(rough, "id"), total)
     sized = keep.table(grouped.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select("grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), total)
     names = grouped.join(sized, "grp").select("id", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("p"))
     dealt = keep.table(sets.select("id", "size", "set").join(names, "id"))

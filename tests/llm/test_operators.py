@@ -461,6 +461,19 @@ def test_search_loses_no_component():
         assert comps(links) == comps(every) and set(map(frozenset, links)) <= set(map(frozenset, every))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_linked_sets_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    classes = jaccard.size_classes(400, percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 200))
+        a = rng.choice(1 << 48, n, replace=False).astype(np.uint64)
+        b = np.concatenate([a[int(rng.integers(0, n // 4 + 1)) :], rng.choice(1 << 48, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            x, y = (jaccard.signatures(np.unique(s), ~np.isin(np.unique(s), o), classes, percent) for s, o in ((a, b), (b, a)))
+            assert len(np.intersect1d(x, y))
+
+
 # Quality
 
 

@@ -55,6 +55,26 @@ def test_model_beats_the_base(spark):
     assert held["score"].sum() > held["base_score"].sum() and np.isfinite(got["score"]).all()
 
 
+def test_jaccard_equals_brute_force(spark, documents):
+    rows = []
+    for i, t in zip(documents["doc_id"], documents["text"]):
+        w = W.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        rows.append((i, {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()))
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (a, s) in enumerate(rows):
+        for b, t in rows[:k]:
+            if s and t and 85 * max(len(s), len(t)) <= 100 * min(len(s), len(t)) and 100 * len(s & t) >= 85 * len(s | t):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    got = queries.op7_ngram_jaccard(spark, D).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(s), top(i)) for i, s in rows) and len({top(i) for i in up}) < len(rows)
+
+
 def test_vectors_find_links(spark):
     e = pd.read_parquet(f"{D}/embeddings.parquet")
     got = queries.op6_embedding_dedup(spark, D).toPandas().set_index("vec_id")["n_links"]
