@@ -15,12 +15,13 @@ def by_length(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """The best state of each word, where a change of state costs penalty. scores: a row for each word, a column for each state."""
-    out, back = np.zeros(len(scores), np.uint8), np.zeros(scores.shape, np.uint8)
+    kind = np.min_scalar_type(max(1, scores.shape[1] - 1))  # states are stored in as many bytes as they need
+    out, back = np.zeros(len(scores), np.int32), np.zeros(scores.shape, kind)
     begin, length, _ = by_length(starts)
     if not len(begin):
         return out
     active = np.searchsorted(-length, -np.arange(length[0]), "left")  # texts longer than t
-    best, me = scores[begin].copy(), np.arange(scores.shape[1], dtype=np.uint8)
+    best, me = scores[begin].copy(), np.arange(scores.shape[1], dtype=kind)
     for t in range(1, length[0]):
         k = active[t]
         rows = begin[:k] + t
@@ -28,9 +29,9 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
         top = v.argmax(1)
         change = v[np.arange(k), top] - penalty
         stay = v >= change[:, None]
-        back[rows] = np.where(stay, me, top[:, None].astype(np.uint8))
+        back[rows] = np.where(stay, me, top[:, None].astype(kind))
         best[:k] = np.where(stay, v, change[:, None]) + scores[rows]
-    state = best.argmax(1).astype(np.uint8)
+    state = best.argmax(1).astype(np.int32)
     for t in range(length[0] - 1, -1, -1):
         k = active[t]
         rows = begin[:k] + t

@@ -93,23 +93,18 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def private(df: DataFrame, *names: str) -> list[str]:
-    """Names like these that no column of df has."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def without_results(names: Iterable[str], results: Iterable[str]) -> list[str]:
     """The columns that stay: all but those named like a result, which takes their place."""
     gone = {r.lower() for r in results}
     return [c for c in names if c.lower() not in gone]
 
 
+def carried(df: DataFrame, names: Iterable[str]) -> tuple[list[Column], list[Column]]:
+    """Columns under plain names c0, c1, ..., which neither clash nor hold dots, and the same columns back under their own names."""
+    names = list(names)
+    return [quoted(c).alias(f"c{i}") for i, c in enumerate(names)], [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

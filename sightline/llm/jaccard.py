@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, asked, coded, hashed, mixed, new_name, pack, runs, sliced, split_by_part, summed_in_parts, unpack, words
+from .common import Scratch, asked, coded, hashed, mixed, new_name, pack, quoted, runs, sliced, split_by_part, summed_in_parts, unpack, words
 from .graph import components
 
 #: Bits of an n-gram's hash by which sets are stored and compared after the first pass.
@@ -122,7 +122,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks, fps, held = [], [], 0
-        for b in sliced(batches, text):
+        for b in sliced(batches, "text"):
             flat, starts = shingle_sets(b.column(1), n)
             f1, f2 = fingerprints(flat, starts)
             m = b.num_rows
@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
         if held:
             yield from shared(np.concatenate(toks), np.concatenate(fps))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias(text), F.xxhash64(text).alias("h"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("h"))
     return rows.mapInArrow(work, "kind int, id long, size long, f1 long, f2 long, tok binary, fp binary, met binary, h long")
 
 
@@ -177,7 +177,7 @@ def unpacked_sets(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, sizes)
 
 
-def _block_sets(sets: DataFrame, text: str, n: int) -> DataFrame:
+def _block_sets(sets: DataFrame, n: int) -> DataFrame:
     """Sets of about SETS documents in one row: block, ids, sizes, tokens."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _block_sets(sets: DataFrame, text: str, n: int) -> DataFrame:
             i, s, t = np.concatenate(ids), np.concatenate(sizes), np.concatenate(toks)
             return pa.record_batch({"block": pa.array([new_name()], pa.int64()), "ids": pa.array([i.tobytes()], pa.binary()), "sizes": pa.array([s.tobytes()], pa.binary()), "tokens": pa.array([packed_sets(t, s)], pa.binary())})
 
-        for b in sliced(batches, text):
+        for b in sliced(batches, "text"):
             flat, starts = shingle_sets(b.column(2), n)
             same = fingerprints(flat, starts)[0] == b.column(1).to_numpy()  # of rows that share an id and a hash, the one that is meant
             size = np.diff(starts)
@@ -395,9 +395,9 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     reps = keep.table(reps.select("f1", "f2", "size", F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"), F.monotonically_increasing_id().alias("num")), total)
     asking = keep.table(reps.join(_sharing(scan), "f1", "left_semi").select("num", F.col("rep").alias("__id"), F.col("rep_h").alias("__h"), "f1"), total)
     keep.drop(scan)
-    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(text).alias("__h"), text)
-    chosen = asking.join(texts, ["__id", "__h"]).select("num", "f1", text)
-    blocks = keep.table(_block_sets(chosen, text, n))
+    texts = docs.select(quoted(doc_id).cast("long").alias("__id"), F.xxhash64(quoted(text)).alias("__h"), quoted(text).alias("text"))
+    chosen = asking.join(texts, ["__id", "__h"]).select("num", "f1", "text")
+    blocks = keep.table(_block_sets(chosen, n))
     keep.free()
     counts = keep.table(summed_in_parts(_asked(blocks, parts), ranked=False))
     sets = keep.table(_candidates(blocks, counts, percent))

@@ -7,7 +7,8 @@ one with most letters, and the score is its share of them.
 Learned from about `most` labelled texts, an equal share for each language (all texts of a language that has fewer), chosen by a hash of
 their ids; a text whose language is null is never used.
 Defined cases: a null text, or one without letters, is `und` with score 0 and has no spans; ties go to the language that sorts first;
-with nothing to learn from everything is `und`; rows are handled one by one, so repeated rows and ids and other columns don't matter.
+with nothing to learn from everything is `und`; rows are handled one by one, so repeated rows and ids don't matter; other columns are kept,
+but for those named like a result, whose place it takes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chains import viterbi
-from .common import coded, mixed, modest, sliced, words
+from .common import carried, coded, mixed, modest, quoted, sliced, without_results, words
 
 #: First and last code points of scripts. What is outside all is script 0; 1 is Latin.
 SCRIPTS = (
@@ -93,15 +94,16 @@ def _word_facts(text: pa.Array):
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most: int = SAMPLE) -> dict:
     """langs, log probabilities (BUCKETS rows, a column for each language) and which languages each script may be in."""
-    rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language, as in the model
+    rows = docs.filter(usable & quoted(lang).isNotNull() & quoted(text).isNotNull())
+    rows = rows.select(quoted(text).alias("text"), quoted(lang).cast("string").alias("lang"), quoted(doc_id).alias("id"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language, as in the model
     part = {name: math.ceil(min(1.0, most / (len(sizes) * n)) * 1_000_000) for name, n in sizes.items()}
-    limit = F.create_map(*(F.lit(x) for kv in part.items() for x in kv))[F.col(lang)] if part else F.lit(0)
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1_000_000)) < limit).select(text, lang)
+    limit = F.create_map(*(F.lit(x) for kv in part.items() for x in kv))[F.col("lang")] if part else F.lit(0)
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1_000_000)) < limit).select("text", "lang")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for b in sliced(batches, text):
+        for b in sliced(batches, "text"):
             names = np.array(b.column(1).to_pylist(), object)
             ids, starts, vocab, points, begin, per = _word_facts(b.column(0))
             f, w = _features(points, begin)
@@ -126,7 +128,7 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
 
 
 def label_words(text: pa.Array, model: dict, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's language (255: it has no letter and stands before any), its letters, and where texts begin."""
+    """Each word's language, by number (-1 without a model), its letters, and where texts begin."""
     ids, starts, vocab, points, begin, per = _word_facts(text)
     f, w = _features(points, begin)
     k = len(model["langs"])
@@ -136,7 +138,7 @@ def label_words(text: pa.Array, model: dict, penalty: float = PENALTY) -> tuple[
         scores = np.where(model["may"][per.argmax(1)] | (letters == 0)[:, None], scores, scores - 1e6)
         state = viterbi(scores[ids].astype(np.float64), starts, penalty)
     else:
-        state = np.full(len(ids), 255, np.uint8)
+        state = np.full(len(ids), -1, np.int32)
     return state, letters[ids], starts
 
 
@@ -154,16 +156,19 @@ def identify(docs: DataFrame, model: dict, text: str = "text", spans: bool = Tru
     """docs with lang_pred, lang_score and, if asked, lang_spans. The model has a fixed number of buckets, and goes out as a broadcast."""
     modest(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
+    results = ["lang_pred", "lang_score", *(["lang_spans"] if spans else [])]
+    names = without_results(docs.columns, results)
+    mine, back = carried(docs, names)
+    inner = docs.select(*mine, quoted(text).alias("text"))
+    schema = T.StructType(inner.schema.fields[:-1]).add("lang_pred", "string").add("lang_score", "double")
     if spans:
         schema = schema.add("lang_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("lang", "string")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept.value
         langs = m["langs"]
-        for b in sliced(batches, text):
-            state, letters, starts = label_words(b.column(text), m)
+        for b in sliced(batches, "text"):
+            state, letters, starts = label_words(b.column(len(names)), m)
             owner = np.repeat(np.arange(b.num_rows), np.diff(starts))
             share = np.stack([np.bincount(owner[state == j], weights=letters[state == j], minlength=b.num_rows) for j in range(len(langs))], 1) if langs else np.zeros((b.num_rows, 1))
             total, top = share.sum(1), share.argmax(1)
@@ -173,4 +178,4 @@ def identify(docs: DataFrame, model: dict, text: str = "text", spans: bool = Tru
                 cols.append(pa.array(spans_of(state, letters, starts, langs), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).select(*back, *results)

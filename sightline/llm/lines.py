@@ -7,7 +7,8 @@ lines keeps three of them.
 
 Defined cases: lines are what stands between \\n; windows without any visible character are ignored; texts of less than three lines,
 empty and null texts are unchanged (null stays null); a null doc_id sorts before all others; rows that share doc_id and text are one
-document and stay alike; rows that share only doc_id come in the order of a hash of the text; other columns are kept.
+document and stay alike; rows that share only doc_id come in the order of a hash of the text; other columns are kept, but for those
+named n_lines or n_removed where counts are asked for, whose place these take.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest
 
-from .common import Scratch, coded, mixed, sliced
+from .common import Scratch, carried, coded, mixed, quoted, sliced, without_results
 
 WIDTH = 3
 
@@ -50,7 +52,7 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
-    return [F.coalesce(docs[doc_id].cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(docs[text]).alias("k2")]
+    return [F.coalesce(quoted(doc_id).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(quoted(text)).alias("k2")]
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,7 +64,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["k1", "k2", "line", "h1", "h2"])
 
-    at = Scratch(docs.sparkSession).table(docs.select(*_key(docs, doc_id, text), docs[text].alias("text")).mapInArrow(work, "k1 long, k2 long, line int, h1 long, h2 long"))
+    at = Scratch(docs.sparkSession).table(docs.select(*_key(docs, doc_id, text), quoted(text).alias("text")).mapInArrow(work, "k1 long, k2 long, line int, h1 long, h2 long"))
     many = at.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     other = (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))
     later = at.join(many, ["h1", "h2"]).filter(other | (F.col("line") >= F.col("first.line") + WIDTH))
@@ -83,21 +85,23 @@ def without(text: str | None, starts: np.ndarray) -> tuple[str | None, int, int]
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """docs with the repeated lines gone; counts adds n_lines and n_removed."""
-    names = docs.columns
-    k1, k2 = _key(docs, doc_id, text)
-    starts = repeated_lines(docs, doc_id, text).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("starts").alias("__starts"))
-    joined = docs.withColumns({"__k1": k1, "__k2": k2}).join(starts, ["__k1", "__k2"], "left").select(*(F.col(f"`{c}`") for c in names), "__starts")
-    schema = docs.select(*names).schema
+    names = without_results(docs.columns, ("n_lines", "n_removed") if counts else ())
+    mine, back = carried(docs, names)
+    starts = repeated_lines(docs, doc_id, text)
+    joined = docs.select(*mine, *_key(docs, doc_id, text), quoted(text).alias("text")).join(starts, ["k1", "k2"], "left")
+    joined = joined.select(*(f"c{i}" for i in range(len(names)) if names[i] != text), "text", "starts")
+    schema = T.StructType(joined.schema.fields[:-2]).add("text", "string")
     if counts:
         schema = schema.add("n_lines", "long").add("n_removed", "long")
-    at = names.index(text)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, text):
-            made = [without(t, np.array(s or [], np.int64)) for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
-            cols = [pa.array([m[0] for m in made], pa.string()) if i == at else b.column(i) for i in range(len(names))]
+        for b in sliced(batches, "text"):
+            n = b.num_columns - 2
+            made = [without(t, np.array(s or [], np.int64)) for t, s in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+            cols = [*b.columns[:n], pa.array([m[0] for m in made], pa.string())]
             if counts:
                 cols += [pa.array([m[k] for m in made], pa.int64()) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.mapInArrow(work, schema)
+    done = joined.mapInArrow(work, schema)
+    return done.select(*(F.col("text").alias(text) if c == text else x for c, x in zip(names, back)), *(("n_lines", "n_removed") if counts else ()))

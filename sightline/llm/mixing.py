@@ -10,7 +10,8 @@ Sources come in the order of code points, null last, weigh 5, 2, 1 in turn and s
 source's words and the rest is shared anew by weight until none is above.
 
 Defined cases: a null or empty text has size 0 and is never taken; repeated rows are documents of their own; a source without words
-has target 0; an empty table gives an empty one; other columns are kept.
+has target 0; an empty table gives an empty one; other columns are kept, but for those named like a result, whose place it takes; rows
+that share id, text and source are dealt their copies in the order of a hash of all their columns.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, carried, quoted, without_results
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -28,6 +30,7 @@ MOST = 3.0
 STEPS, CLOSE = 60, 1e-9
 #: Documents in a group that is rounded together.
 GROUP = 1000
+RESULTS = ("__size", "__source_size", "__target", "__copies")
 
 
 def n_words(text: Column) -> Column:
@@ -82,7 +85,9 @@ def tilts(sizes: DataFrame, most: float = MOST) -> DataFrame:
         keep.drop(state)
         state = new
         if state.filter("not done").isEmpty():
-            break
+            return state.select("key", "tilt", "scale")
+    if n:
+        raise RuntimeError(f"the dual of some source isn't solved after {STEPS} steps")
     return state.select("key", "tilt", "scale")
 
 
@@ -101,8 +106,8 @@ def rounded(rate: np.ndarray, size: np.ndarray, most: float) -> np.ndarray:
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple = WEIGHTS, most: float = MOST, keep_text: bool = True) -> DataFrame:
     """docs with __size, __source_size, __target and __copies (0 up to most). keep_text: False leaves only doc_id beside them."""
     keep = Scratch(docs.sparkSession)
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    narrow = keep.table(docs.select(F.col(doc_id).cast("long").alias("k1"), F.xxhash64(text).alias("k2"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    key = F.coalesce(F.concat(F.lit("s"), quoted(source).cast("string")), F.lit("n"))
+    narrow = keep.table(docs.select(quoted(doc_id).cast("long").alias("k1"), F.xxhash64(quoted(text)).alias("k2"), quoted(source).cast("string").alias("source"), n_words(quoted(text)).alias("size")))
     sizes = keep.table(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     goal = keep.table(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).drop("docs"), weights, most), 1)
     found = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["source"], "size", "n", "target", "source_size")
@@ -124,18 +129,21 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     cols = [F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("copies").alias("__copies")]
     if not keep_text:
         return taken.select(F.col("k1").alias(doc_id), *cols)
-    taken = taken.withColumnRenamed("key", "skey").select("k1", "k2", "skey", "copies", *cols)
-    mine = docs.withColumns({"k1__": docs[doc_id].cast("long"), "k2__": F.xxhash64(text), "skey__": key})
-    on = mine["k1__"].eqNullSafe(taken["k1"]) & (mine["k2__"] == taken["k2"]) & (mine["skey__"] == taken["skey"])
+    names = without_results(docs.columns, RESULTS)
+    mine, back = carried(docs, names)
+    mine = docs.select(*mine, quoted(doc_id).cast("long").alias("m1"), F.xxhash64(quoted(text)).alias("m2"), key.alias("m3"))
+    on = F.col("m1").eqNullSafe(F.col("k1")) & (F.col("m2") == F.col("k2")) & (F.col("m3") == F.col("key"))
+    taken = taken.select("k1", "k2", "key", "copies", *cols)
     if not narrow.groupBy("k1", "k2", "source").count().filter("count > 1").isEmpty():
-        # rows that share id, text and source can't be told apart: their copies are dealt out by number
-        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2", "skey").orderBy("copies")))
-        mine = mine.withColumn("nth__", F.row_number().over(Window.partitionBy("k1__", "k2__", "skey__").orderBy(F.lit(1))))
-        on = mine["k1__"].eqNullSafe(taken["k1"]) & (mine["k2__"] == taken["k2"]) & (mine["skey__"] == taken["skey"]) & (mine["nth__"] == taken["nth"])
-    return mine.join(taken, on).select(*(mine[c] for c in docs.columns), "__size", "__source_size", "__target", "__copies")
+        # rows that share id, text and source are told apart by a hash of all columns: their copies are dealt out by number
+        every = F.xxhash64(*(F.to_json(F.struct(f"c{i}")) if isinstance(f.dataType, T.MapType) else F.col(f"c{i}") for i, f in enumerate(mine.schema.fields[: len(names)])))
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2", "key").orderBy("copies")))
+        mine = mine.withColumn("mth", F.row_number().over(Window.partitionBy("m1", "m2", "m3").orderBy(every)))
+        on &= F.col("mth") == F.col("nth")
+    return mine.join(taken, on).select(*back, *RESULTS)
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as many times as it has copies."""
-    names = docs.columns
-    return mix(docs, **how).filter("__copies > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    """The mix itself: each document as many times as it has copies. Columns named like those of mix are left out."""
+    made = mix(docs, **how)
+    return made.filter("__copies > 0").select(*(quoted(c) for c in without_results(docs.columns, RESULTS)), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copies")).drop("__copies")

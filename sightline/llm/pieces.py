@@ -2,14 +2,15 @@
 
 A text of more than GIANT characters is cut into chunks at fixed places, in the middle of words too. The state at a cut is the piece that
 covers or ends at it. A chunk yields a transfer matrix in the max-plus semiring: entry [i, j] is the best weight of a way from state i at its
-left cut to state j at its right cut. Matrices combine associatively; forward and backward products fix the state at each cut, and
-each chunk is then traced back on its own. For a byte-pair model the weight of a way is 0 where each two neighbouring pieces are what
+left cut to state j at its right cut. Matrices combine associatively, in a tree of tasks with FAN neighbours each: products go up it, the
+states at cuts come down, found in each node by forward and backward products, and each chunk is then traced back on its own. For a byte-pair model the weight of a way is 0 where each two neighbouring pieces are what
 the model makes of their joined text, and minus infinity otherwise: the encoding of a text is the one way with weight 0. A place whose
 two characters stand together in no piece is always a boundary between pieces, so a chunk's inside, from its first to its last such
 place, has one way, found by the library; only what is outside is searched. Other texts are one chunk without cuts.
 
 Defined cases: a null text has null ids, and null when decoded; an empty text has none; a text without any boundary is searched
-throughout; rows that share doc_id and text are encoded once and all get the result; other columns are kept unless named ids.
+throughout; rows that share doc_id and text are encoded once and all get the result; other columns are kept unless named ids (or
+decoded), whose place the result takes; a null doc_id is an id like others.
 U+2581 stands for a space in this kind of model and decodes as one; all else comes back exactly.
 """
 
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, modest, sliced
+from .common import Scratch, carried, modest, quoted, sliced, without_results
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-GIANT, CHUNK = 40_000, 16_384
+#: Characters of a giant text and of a chunk, and how many matrices one task combines.
+GIANT, CHUNK, FAN = 40_000, 16_384, 64
 NO = -np.inf
 
 
@@ -171,9 +173,10 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1) if a.shape[1] else np.full((a.shape[0], b.shape[1]), NO)
 
 
-def chosen(matrices: list[np.ndarray]) -> list[tuple[int, int]] | None:
-    """The states at both cuts of each chunk, from forward and backward products. None if no way leads through."""
-    fore, aft = [np.zeros((1, 1))], [np.zeros((1, 1))]
+def chosen(matrices: list[np.ndarray], entry: int = 0, exit_: int = 0) -> list[tuple[int, int]] | None:
+    """The states at both cuts of each chunk, from forward and backward products, where those at the ends of all are known. None if not one way leads through."""
+    rows, cols = matrices[0].shape[0], matrices[-1].shape[1]
+    fore, aft = [np.where(np.arange(rows) == entry, 0.0, NO)[None, :]], [np.where(np.arange(cols) == exit_, 0.0, NO)[:, None]]
     for x in matrices:
         fore.append(combined(fore[-1], x))
     for x in reversed(matrices):
@@ -218,11 +221,36 @@ def ids_of(m: Pieces, pieces: list[str]) -> list[int]:
     return out
 
 
-def _states_of_all(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("no", ignore_index=True)
-    found = chosen([np.frombuffer(x).reshape(r, c) for x, r, c in zip(pdf["matrix"], pdf["rows"], pdf["cols"])])
-    pairs = found or [(-1, -1)] * len(pdf)
-    return pdf[["k1", "k2", "no"]].assign(i=[p[0] for p in pairs], j=[p[1] for p in pairs])
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x).reshape(r, c) for x, r, c in zip(pdf["matrix"], pdf["rows"], pdf["cols"])]
+
+
+NODE, STATE = "k1 long, k2 long, no int, matrix binary, rows int, cols int", "k1 long, k2 long, no int, i int, j int"
+
+
+def _states_of_all(nodes: DataFrame, keep: Scratch) -> DataFrame:
+    """STATE of each chunk, from NODE of each: products of FAN neighbours go up the levels of a tree, states at their cuts come down."""
+
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = reduce(combined, _matrices(pdf.sort_values("no")))
+        return pd.DataFrame([[*key, x.tobytes(), *x.shape]], columns=["k1", "k2", "no", "matrix", "rows", "cols"])
+
+    def descend(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no", ignore_index=True)
+        i, j = above["i"].iloc[0], above["j"].iloc[0]
+        pairs = (chosen(_matrices(pdf), i, j) if i >= 0 else None) or [(-1, -1)] * len(pdf)
+        return pdf[["k1", "k2", "no"]].assign(i=[p[0] for p in pairs], j=[p[1] for p in pairs])
+
+    up = F.expr(f"int(no div {FAN})").alias("up")
+    levels, most = [nodes], nodes.agg(F.max("no")).first()[0] or 0
+    while most:
+        levels.append(keep.table(levels[-1].groupBy("k1", "k2", up).applyInPandas(product, NODE)))
+        most //= FAN
+    states = levels.pop().select("k1", "k2", "no", F.lit(0).alias("i"), F.lit(0).alias("j"))  # a whole text begins and ends in one state
+    for below in reversed(levels):
+        above = states.withColumnRenamed("no", "up").groupBy("k1", "k2", "up")
+        states = keep.table(below.withColumn("up", up).groupBy("k1", "k2", "up").cogroup(above).applyInPandas(descend, STATE))
+    return states
 
 
 def model_bytes(path: str = MODEL) -> bytes:
@@ -254,7 +282,7 @@ def _giant_ids(giants: DataFrame, sent) -> DataFrame:
             made = [transfer(m, s, x, len(s) - y, no == 0, last) for no, last, s, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 7)))]
             yield pa.record_batch({"k1": b.column(0), "k2": b.column(1), "no": b.column(2), "matrix": pa.array([x.tobytes() for x in made], pa.binary()), "rows": pa.array([x.shape[0] for x in made], pa.int32()), "cols": pa.array([x.shape[1] for x in made], pa.int32())})
 
-    found = parts.mapInArrow(matrices, "k1 long, k2 long, no int, matrix binary, rows int, cols int").groupBy("k1", "k2").applyInPandas(_states_of_all, "k1 long, k2 long, no int, i int, j int")
+    found = _states_of_all(keep.table(parts.mapInArrow(matrices, NODE)), keep)
 
     def trace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(sent.value)
@@ -281,15 +309,16 @@ def _giant_ids(giants: DataFrame, sent) -> DataFrame:
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns in keep) with ids: array<int>."""
-    names = docs.columns if keep is None else keep
+    names = without_results(docs.columns if keep is None else keep, ["ids"])
+    mine, back = carried(docs, names)
     modest(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model))  # of a fixed size
-    inner = docs.select(*names, F.col(text).alias("__text"))
-    schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType()))
+    inner = docs.select(*mine, quoted(doc_id).cast("long").alias("id"), quoted(text).alias("text"))
+    schema = T.StructType(inner.schema.fields[: len(names)]).add("ids", T.ArrayType(T.IntegerType()))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(sent.value)
-        for b in sliced(batches, "__text", 3 << 20):
+        for b in sliced(batches, "text", 3 << 20):
             t = b.column(len(names))
             ids = m.whole.encode(pc.fill_null(t, "").to_pylist(), num_threads=1)
             flat = np.fromiter(chain.from_iterable(ids), np.int32)
@@ -297,29 +326,31 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=t.is_null())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), made], names=schema.names)
 
-    giant = F.coalesce(F.length("__text") > GIANT, F.lit(False))
-    short = inner.filter(~giant).mapInArrow(work, schema)
-    key = {"__k1": F.coalesce(F.col(f"`{doc_id}`" if doc_id in names else F.lit(None)).cast("long"), F.lit(-(2**63))), "__k2": F.xxhash64("__text")}
-    long = inner.filter(giant).withColumns(key)
-    ids = _giant_ids(long.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "__text").dropDuplicates(["k1", "k2"]), sent)
-    got = long.drop("__text").join(ids, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select(*names, "ids")
-    return short.unionByName(got)
+    giant = F.coalesce(F.length("text") > GIANT, F.lit(False))
+    short = inner.filter(~giant).drop("id").mapInArrow(work, schema)
+    long = inner.filter(giant).withColumns({"k1": F.coalesce("id", F.lit(-(2**63))), "k2": F.xxhash64("text")})
+    found = _giant_ids(long.select("k1", "k2", F.col("text").alias("__text")).dropDuplicates(["k1", "k2"]), sent)
+    got = long.drop("text", "id").join(found, ["k1", "k2"]).select(*schema.names)
+    return short.unionByName(got).select(*back, "ids")
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """rows with decoded: the text of the ids."""
+    names = without_results(rows.columns, ["decoded"])
+    mine, back = carried(rows, names)
     sent = rows.sparkSession.sparkContext.broadcast(model_bytes(model))
-    schema = T.StructType(list(rows.schema.fields)).add("decoded", "string")
+    inner = rows.select(*mine, quoted(ids).alias("ids"))
+    schema = T.StructType(inner.schema.fields[: len(names)]).add("decoded", "string")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Pieces(sent.value)
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 x = b.slice(start, 500)
-                col = x.column(b.schema.get_field_index(ids))
+                col = x.column(len(names))
                 flat, at = col.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)).tolist()
                 made = pa.array(m.whole.decode([flat[s:e] for s, e in zip([0, *at], at)], num_threads=1) if at else [], pa.string())
                 made = pc.if_else(col.is_null(), None, made)
-                yield pa.RecordBatch.from_arrays([*x.columns, made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*x.columns[: len(names)], made], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).select(*back, "decoded")

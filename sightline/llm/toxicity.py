@@ -7,7 +7,8 @@ conditional likelihood. Scoring: forward-backward gives each word its probabilit
 with probability >= THRESHOLD are the offending spans, as offsets in code points.
 
 Defined cases: null and empty texts score 0 and have no spans; with no toxic or no clean text to learn from, all scores are 0; rows are
-handled one by one, so ties, repeated rows and ids and other columns don't matter; an id labelled twice counts as toxic if any says so.
+handled one by one, so ties and repeated rows and ids don't matter; an id labelled twice counts as toxic if any says so; other columns are
+kept, but for those named like a result, whose place it takes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chains import marginals
-from .common import coded, hashed, mixed, modest, sliced, words
+from .common import carried, coded, hashed, mixed, modest, quoted, sliced, without_results, words
 
 THRESHOLD = 0.3
 SAMPLE, CLEAN, LONGEST = 1500, 3, 12_000
@@ -118,13 +119,14 @@ def fit(texts: pa.Array, toxic: np.ndarray, odds: float = 1.0) -> dict | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = SAMPLE, longest: int = LONGEST) -> dict | None:
-    known = labels.filter(usable & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("__y"))
+    known = labels.filter(usable & quoted(label).isNotNull() & quoted(doc_id).isNotNull()).groupBy(quoted(doc_id).alias("id")).agg(F.max(quoted(label).cast("int")).alias("__y"))
     n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     shares = {y: min(1.0, (most if y else CLEAN * most) / c) for y, c in n.items()}
     part = F.coalesce(*[F.when(F.col("__y") == y, x) for y, x in shares.items()], F.lit(0.0)) if n else F.lit(0.0)
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), doc_id), F.lit(1_000_000)) < part * 1_000_000)
+    chosen = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1_000_000)) < part * 1_000_000)
     # (1 + CLEAN) * most ids at about: a bounded side, and a bounded group, which one task fits so that the driver needn't hold it
-    sample = docs.filter(F.length(text) <= longest).select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.lit(0).alias("__g"), "__y", F.col(text).alias("__text"))
+    texts = docs.filter(F.length(quoted(text)) <= longest).select(quoted(doc_id).alias("id"), quoted(text).alias("__text"))
+    sample = texts.join(F.broadcast(chosen), "id").select(F.lit(0).alias("__g"), "__y", "__text")
     odds = shares.get(1, 1.0) / shares.get(0, 1.0) if n else 1.0
 
     def work(t: pa.Table) -> pa.Table:
@@ -162,18 +164,20 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", spans: bool = True, keep: list[str] | None = None, below: float | None = None) -> DataFrame:
     """docs (or the columns in keep) with toxicity and, if asked, toxic_spans. below: only texts that score less, and no more columns."""
-    names = docs.columns if keep is None else keep
+    results = [] if below is not None else ["toxicity", *(["toxic_spans"] if spans else [])]
+    names = without_results(docs.columns if keep is None else keep, results)
+    mine, back = carried(docs, names)
     modest(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*names, F.col(text).alias("__text"))
-    schema = docs.select(*names).schema
+    inner = docs.select(*mine, quoted(text).alias("text"))
+    schema = T.StructType(inner.schema.fields[:-1])
     if below is None:
         schema = schema.add("toxicity", "double")
         if spans:
             schema = schema.add("toxic_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("p", "double")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__text"):
+        for b in sliced(batches, "text"):
             t = b.column(len(names))
             p, starts, _ = word_scores(t, sent.value)
             n = np.diff(starts)
@@ -191,4 +195,4 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", spans: bool =
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return inner.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).select(*back, *results)

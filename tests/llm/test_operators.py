@@ -74,6 +74,37 @@ def test_pack_and_parts():
     assert cut[0] == 0 and cut[-1] == 1000 and (np.diff(cut) > 80).all()
 
 
+CLASHES = ["a.b", "c0", "k1", "k2", "id", "__text", "__k1", "starts", "n_lines", "n_removed", "ids", "decoded", "no", "key", "size", "tilt", "m1", "mth", "part", "block", "n", "held", "lang_pred", "lang_score", "lang_spans",
+           "toxicity", "toxic_spans", "__size", "__source_size", "__target", "__copies", "__lang", "mid", "half", "log_ppl", "kept", "perplexity", "base_failed", "n_words", "component_id", "n_shingles", "rep", "num", "cls",
+           "vec", "label", "v", "h1", "links", "turn_", "example_no", "formatted", "last", "head", "body", "said", "before", "train", "score", "`x`"]
+
+
+def test_extra_columns_may_have_any_name(spark):
+    words_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words_, "en", "s", *range(len(CLASHES))), (2, words_ + "\nx", "de", None, *[None] * len(CLASHES)), (None, None, None, None, *[None] * len(CLASHES))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c.replace('`', '``')}` int" for c in CLASHES))
+    labels = spark.createDataFrame([(1, 1, 5), (2, 0, 5)], "doc_id long, toxic int, `a.b` int")
+    runs_ = {
+        "encode": (pieces.encode(docs), ["ids"]),
+        "decode": (pieces.decode(pieces.encode(docs)), ["ids", "decoded"]),
+        "lines": (lines.dedup_lines(docs, counts=True), ["n_lines", "n_removed"]),
+        "langid": (langid.identify(docs, langid.train(docs, F.lit(True))), ["lang_pred", "lang_score", "lang_spans"]),
+        "toxicity": (toxicity.score(docs, toxicity.train(docs, labels, F.lit(True))), ["toxicity", "toxic_spans"]),
+        "quality": (quality.judge(docs), list(quality.RESULTS)),
+        "mixing": (mixing.mix(docs), list(mixing.RESULTS)),
+    }
+    for name, (df, results) in runs_.items():
+        got = {r["doc_id"]: r for r in df.collect()}
+        assert df.columns == [c for c in docs.columns if c not in results] + results, name
+        assert len(got) == 3 and all(got[1][c] == i for i, c in enumerate(CLASHES) if c not in results), name
+    assert mixing.mixed_rows(docs).count() >= 1
+    assert jaccard.jaccard_components(docs).count() == katz.katz_scores(docs).count() == 3
+    chats = docs.drop("turn", "role").withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(1), "role": F.lit("assistant")})
+    assert chat.digest(chat.format_chats(chats)).count() == 3
+    vecs = docs.drop("label").withColumns({"vec_id": F.col("doc_id"), "embedding": F.array(F.lit(1.0), F.lit(2.0)), "label": F.lit(1)})
+    assert {r.component_id for r in vectors.near_vectors(vecs).collect()} == {1, None}
+
+
 # SentencePiece
 
 
@@ -111,6 +142,19 @@ def test_combination_is_associative():
     assert np.allclose(pieces.combined(pieces.combined(a, b), c), pieces.combined(a, pieces.combined(b, c)))
 
 
+def test_states_come_down_a_tree(spark, monkeypatch, model):
+    monkeypatch.setattr(pieces, "FAN", 3)
+    monkeypatch.setattr(pieces, "CHUNK", 40)
+    monkeypatch.setattr(pieces, "GIANT", 50)
+    rng = random.Random(31)
+    texts = ["".join(rng.choice(["the running", " donaudampf", "日本", "0123", "  ", "aaaaab"]) for _ in range(n)) for n in (20, 60, 300, 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in pieces.encode(df).collect()} == {i: model.whole.encode(t) for i, t in enumerate(texts)}
+    rng2 = np.random.default_rng(3)
+    mats = [np.where(rng2.random((4, 4)) < 0.9, -np.inf, 0.0) for _ in range(3)]
+    assert pieces.chosen([*mats, np.full((4, 1), -np.inf)], 0, 0) is None
+
+
 def test_encode_and_decode(spark, model, docs, none, monkeypatch):
     long = "international donaudampfschifffahrt 日本 " * 1500 + "q" * 3000
     rows = docs.unionByName(spark.createDataFrame([(900, long, None, None, None, None), (900, long, None, None, None, None), (901, "z" * 50_000, None, None, None, None)], DOCS))
@@ -257,6 +301,17 @@ def test_viterbi_equals_enumeration():
             assert tuple(got[a:b]) == best
 
 
+def test_more_than_256_states_and_languages(spark):
+    rng = np.random.default_rng(1)
+    s = rng.normal(size=(40, 300))
+    s[:, 299] += 9
+    assert (chains.viterbi(s, np.array([0, 40]), 0.5) == 299).all()
+    rows = [(i, " ".join(f"{chr(0x4E00 + 3 * i + k)}{chr(0x4E00 + 3 * i)}" for k in range(3)) * 4, f"l{i:03}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    got = langid.identify(df, langid.train(df, F.lit(True)), spans=False)
+    assert got.filter("lang = lang_pred").count() >= 297
+
+
 def test_language(spark, docs, none):
     en, de, ru = "the of and with this that from there where nothing", "der die das und nicht auch eine werden schon über", "это все также когда потому язык слово"
     rng = random.Random(4)
@@ -617,6 +672,13 @@ def test_mixing(spark, docs, corpus, none):
     assert hard.count() == len(corpus) and set(docs.columns) < set(hard.columns) and mixing.mix(none).count() == 0
 
 
+def test_an_unsolved_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    sizes = spark.createDataFrame([("a", s, 3, 900.0, 5310) for s in range(1, 60)], "source string, size long, n long, target double, source_size long")
+    with pytest.raises(RuntimeError):
+        mixing.tilts(sizes)
+
+
 def test_rates_solve_the_dual(spark):
     sizes = spark.createDataFrame([("a", s, 3) for s in range(1, 60)] + [("b", 5, 2)], "source string, size long, n long")
     for goal in (0.2, 0.9, 1.0, 1.7, 2.9):
