@@ -1,6 +1,12 @@
 """Documents through five stages: toxic ones go, repeated lines go, near copies go, sources are mixed, the rest is encoded.
 
 Each stage reads what its predecessor wrote, and all but the last return the columns of documents.
+
+Defined cases: a null text isn't toxic, has no lines to lose and is nobody's copy, but has no words, so the mix never takes it; a null
+doc_id is an id of its own for lines, and such rows are kept by the near-copy stage; of rows that share an id, those with different texts
+are different documents, and those with the same text one, of which the near-copy stage keeps one; an empty table stays empty, with the same
+columns; columns beyond those of documents are carried along, whatever their names are, until the last stage, which returns doc_id, lang,
+source, ids and n_tokens.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import jaccard, lines, mixing, pieces, toxicity
-from sightline.llm.common import Scratch, bucket, table
+from sightline.llm.common import Scratch, bucket, carried, quoted, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +34,11 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of texts that five-word shingles join at 0.8 or more; rows that repeat an id and its text go too."""
     found = jaccard.text_classes(docs.select("doc_id", "text"), n=5, percent=80).filter("id is not null")
-    one = found.filter("cls is not null and id = first").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
-    first = one.unionByName(found.filter("cls is null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
-    kept = docs.withColumn("__h", F.xxhash64("text")).join(first.withColumnRenamed("__h", "__k"), (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__k")))
-    return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    one = found.filter("cls is not null and id = first").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.h").alias("h"))
+    first = one.unionByName(found.filter("cls is null").select("id", "h").distinct())
+    mine, back = carried(docs, docs.columns)
+    rows = docs.select(*mine, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    return rows.join(first, ["id", "h"]).dropDuplicates(["id", "h"]).select(*back).unionByName(docs.filter("doc_id is null").select(*(quoted(c) for c in docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
