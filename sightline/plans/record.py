@@ -49,9 +49,9 @@ def config_tree(config: Config) -> dict:
 
 def overrides(config: Config) -> list[str]:
     """Dotted names of settings that differ from the defaults."""
-    from ..operators.comparison import flatten
+    from ..operators.comparison import leaves
 
-    a, b = flatten(config_tree(config)), flatten(config_tree(Config()))
+    a, b = leaves(config_tree(config)), leaves(config_tree(Config()))
     return sorted(k for k in a if a[k] != b.get(k))
 
 
@@ -121,27 +121,38 @@ def verdict(record: dict) -> tuple[str, str]:
     return ("scored", rate) if e["beats_baseline"] else ("warning", f"{rate} The estimates say nothing that a constant would not.")
 
 
+def facts(record: dict) -> dict:
+    """What the rules of LIMITS look at, as flat values."""
+    c, d = record.get("coverage") or {}, record.get("diagnostics") or {}
+    attempts, hits = c.get("face_attempts") or 0, c.get("face_hits") or 0
+    adapters = (record.get("provenance") or {}).get("adapters", [])
+    return {
+        "scored": bool(record.get("evaluation")),
+        "sources": set(c.get("layout_sources") or []),
+        "attempts": attempts, "missed": attempts - hits, "hit_rate": c.get("face_hit_rate", 1.0) if attempts else 1.0,
+        "never": ", ".join(sorted(p["participant_id"] for p in c.get("per_participant", []) if p["face_attempts"] and not p["directions"])),
+        "changes": ", ".join(f"{b['at_time']:.0f} s" for b in record.get("identity_breaks") or [] if b["total"]),
+        "unresolved": d.get("unresolved_share") or 0.0,
+        "untrained": ", ".join(a["implementation"] for a in adapters if a.get("role") == "gaze" and not a.get("model_path")),
+    }
+
+
+#: Limits of a run: when each holds, and what it says.
+LIMITS = (
+    (lambda f: not f["scored"], "The run was not scored against ground truth."),
+    (lambda f: "assumed_shared" in f["sources"], "All viewers were judged by one recorded layout, which only its own viewer is known to have seen."),
+    (lambda f: f["hit_rate"] < 0.9, "{missed} of {attempts} crops gave no face; times are too short by an unknown amount."),
+    (lambda f: f["never"], "Never resolved, and listed as not visible: {never}."),
+    (lambda f: f["changes"], "At {changes} all participants changed; people on both sides are counted twice."),
+    (lambda f: f["unresolved"] > 0.25, "{unresolved:.1%} of all time has no target."),
+    (lambda f: f["untrained"], "Gaze comes from {untrained}, which is no trained model; neighbouring tiles are hard to tell apart."),
+)
+
+
 def limitations(record: dict) -> list[str]:
     """What this run can't support, from its own state."""
-    c, d, out = record.get("coverage") or {}, record.get("diagnostics") or {}, []
-    if not record.get("evaluation"):
-        out.append("The run was not scored against ground truth.")
-    if "assumed_shared" in (c.get("layout_sources") or []):
-        out.append("All viewers were judged by one recorded layout, which only its own viewer is known to have seen.")
-    if c.get("face_attempts") and c["face_hit_rate"] < 0.9:
-        out.append(f"{c['face_attempts'] - c['face_hits']} of {c['face_attempts']} crops gave no face; times are too short by an unknown amount.")
-    never = [p["participant_id"] for p in c.get("per_participant", []) if p["face_attempts"] and not p["directions"]]
-    if never:
-        out.append("Never resolved, and listed as not visible: " + ", ".join(sorted(never)) + ".")
-    total = [b for b in record.get("identity_breaks") or [] if b["total"]]
-    if total:
-        out.append("At " + ", ".join(f"{b['at_time']:.0f} s" for b in total) + " all participants changed; people on both sides are counted twice.")
-    if (d.get("unresolved_share") or 0) > 0.25:
-        out.append(f"{d['unresolved_share']:.1%} of all time has no target.")
-    for a in (record.get("provenance") or {}).get("adapters", []):
-        if a.get("role") == "gaze" and not a.get("model_path"):
-            out.append(f"Gaze comes from {a['implementation']}, which is no trained model; neighbouring tiles are hard to tell apart.")
-    return out
+    f = facts(record)
+    return [text.format(**f) for holds, text in LIMITS if holds(f)]
 
 
 def outcome(p: dict) -> str:

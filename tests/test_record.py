@@ -93,3 +93,40 @@ def test_config():
 
     c = replace(Config(), max_gap=0.5)
     assert R.overrides(c) == ["max_gap"] and R.config_hash(c) != R.config_hash(Config()) and len(R.config_hash(c)) == 64
+
+
+def test_limits_follow_the_record():
+    good = {"evaluation": {"hit_rate": 1.0}, "coverage": {"face_attempts": 10, "face_hits": 10, "face_hit_rate": 1.0, "layout_sources": ["manifest"]}}
+    assert R.limitations(good) == []
+    bad = {
+        "coverage": {"face_attempts": 10, "face_hits": 4, "face_hit_rate": 0.4, "layout_sources": ["assumed_shared"], "per_participant": [{"participant_id": "b", "face_attempts": 3, "directions": 0}, {"participant_id": "a", "face_attempts": 3, "directions": 0}]},
+        "identity_breaks": [{"at_time": 12.4, "total": True}, {"at_time": 20.0, "total": False}], "diagnostics": {"unresolved_share": 0.3}, "provenance": {"adapters": [{"role": "gaze", "implementation": "geometric"}]},
+    }
+    said = R.limitations(bad)
+    assert len(said) == 7 and said[2].startswith("6 of 10 crops") and "a, b" in said[3] and "12 s" in said[4] and "20 s" not in said[4] and "30.0%" in said[5] and "geometric" in said[6]
+
+
+def test_compare_records():
+    from sightline.operators.comparison import compare, leaves
+
+    assert leaves({"a": {"b": 1, "c": [1, 2]}, "d": None}) == {"a.b": 1, "a.c": [1, 2], "d": None}
+    left = {
+        "provenance": {"video": {"sha256": "x", "path": "l.mp4"}, "adapters": [{"role": "gaze", "implementation": "geometric"}]}, "config": {"fps": 5, "screen": {"left": 1.0}},
+        "coverage": {"frames": 10, "face_hit_rate": 0.90001}, "diagnostics": {"top_target": "a"}, "results": {"viewers": {"v": {"duration_by_target": {"a": 1.01, "b": 2.0}}, "w": {"duration_by_target": {"a": 1.0}}}},
+        "evaluation": {"hit_rate": 0.5, "hit_rate_ci95": [0.4, 0.6]},
+    }
+    same = compare(left, left)
+    assert same["comparable"] and same["notes"] == ["hit-rate intervals overlap: the difference is inconclusive"] and not any(same[k] for k in ("blockers", "configuration", "coverage", "results", "evaluation"))
+    right = {
+        "provenance": {"video": {"sha256": "y", "path": "r.mp4"}, "adapters": [{"role": "tiles", "implementation": "own"}]}, "config": {"fps": 5, "screen": {"left": 2.0}, "extra": True},
+        "coverage": {"frames": 11, "face_hit_rate": 0.90002}, "diagnostics": {"top_target": "b"}, "results": {"viewers": {"v": {"duration_by_target": {"a": 2.04, "c": 0.3}}}},
+        "evaluation": {"hit_rate": 0.9, "hit_rate_ci95": [0.61, 0.95]},
+    }
+    got = compare(left, right)
+    assert not got["comparable"] and got["blockers"] == [("video", "l.mp4", "r.mp4"), ("adapter.gaze", "geometric", "none"), ("adapter.tiles", "none", "own")]
+    assert got["configuration"] == [("config.extra", None, True), ("config.screen.left", 1.0, 2.0)] and got["coverage"] == [("coverage.frames", 10, 11)]
+    assert got["results"] == [("distribution.top_target", "a", "b"), ("duration.b", 2.0, 0.0), ("duration.c", 0.0, 0.3)] and got["evaluation"] == [("evaluation.hit_rate", 0.5, 0.9)]
+    assert len(got["notes"]) == 3 and got["notes"][1] == "hit-rate intervals are disjoint"
+    alone = compare(left, right | {"evaluation": None})
+    assert alone["evaluation"] == [("evaluation", True, False)] and "only one run has scores" in alone["notes"]
+    assert compare({}, {})["comparable"]
