@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 
-from . import vision
+from ..schemas import Gaze
+from . import faces, vision
 
 
 class MeshFaces:
@@ -83,6 +84,32 @@ class LineReader:
         return pytesseract.image_to_string(strip, lang=self.lang, config="--psm 7").strip()
 
 
+def landmark_stage(make: Callable[[], vision.FaceObserver], gaze: Gaze = Gaze()) -> vision.Stage:
+    """Directions from landmarks of an observer that is made once in each task."""
+    return vision.Stage(face_stage(make), faces.LANDMARKS, lambda hits: faces.geometric(hits, gaze))
+
+
+def five_point_stage(make: Callable[[], vision.FaceObserver], gaze: Gaze = Gaze()) -> vision.Stage:
+    """Directions from five points; such an observer sees no iris."""
+    return vision.Stage(face_stage(make, ("det", "width", "height")), faces.FIVE_POINTS, lambda hits: faces.five_point(hits, gaze), iris=False)
+
+
+def stage_of(gaze: str, observer: str, model: str | None, weights: str | None, settings: Gaze = Gaze()) -> vision.Stage:
+    """The stage that a name for the gaze (geometric, appearance) and one for the observer (mesh, five-point) stand for."""
+    if gaze not in ("geometric", "appearance") or observer not in ("mesh", "five-point"):
+        raise ValueError("gaze is geometric or appearance, and an observer is mesh or five-point")
+    if not model or (gaze == "appearance" and not weights):
+        raise ValueError("an observer needs a model file, and an appearance model its weights")
+    make = (lambda: MeshFaces(model)) if observer == "mesh" else (lambda: FivePointFaces(model))
+    if gaze == "geometric":
+        return (landmark_stage if observer == "mesh" else five_point_stage)(make, settings)
+
+    def run(batches):  # models are made where they run
+        return vision.appearance(GazeNet(weights), observer=make())(batches)
+
+    return vision.Stage(run, iris=observer == "mesh")
+
+
 def face_stage(make: Callable[[], vision.FaceObserver], fields: tuple[str, ...] = ("lm", "head_pose", "jaw", "detection")) -> Callable:
     """A function for mapInPandas over observed crops; the model is made once in each task. See faces.LANDMARKS for its schema."""
 

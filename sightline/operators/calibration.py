@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..schemas import Screen
 from .layouts import in_order
+from .ranges import first_holding
 
 EPS = 1e-9
 
@@ -20,10 +21,9 @@ def weak_labels(directions: DataFrame, segments: DataFrame, layouts: DataFrame)
     The first segment, by number, that holds the moment counts; tiles are those of the viewer's first layout, the last one of a name.
     """
     first = in_order(layouts, ["recording_id"]).select("recording_id", F.get("layouts", F.lit(0))["regions"].alias("regions"))
-    seg = segments.select("recording_id", F.col("segment_no").alias("n"), "participant_id", F.col("start_time").alias("s"), F.col("end_time").alias("e"))
-    at = directions.select("recording_id", F.col("person_id").alias("viewer_id"), "obs_no", "ts", "yaw", "pitch").join(seg, "recording_id").filter("s <= ts and ts < e")
-    spoke = at.groupBy("recording_id", "viewer_id", "obs_no", "ts", "yaw", "pitch").agg(F.min_by("participant_id", "n").alias("speaker"))
-    rows = spoke.filter("speaker <> viewer_id").join(first, "recording_id")
+    at = directions.select("recording_id", F.col("person_id").alias("viewer_id"), "obs_no", "ts", "yaw", "pitch")
+    spoke = first_holding(at, "ts", segments, ["recording_id"], "segment_no", "start_time", "end_time", ["participant_id"], "said")
+    rows = spoke.withColumn("speaker", F.col("said.participant_id")).filter("speaker <> viewer_id").join(first, "recording_id")
     mine = F.filter("regions", lambda r: r.participant_id == F.col("speaker"))
     rows = rows.withColumn("t", F.try_element_at(mine, F.lit(-1))).filter("t is not null").withColumn("c", G.centre(F.col("t")))
     return rows.select("recording_id", "viewer_id", "obs_no", "ts", "yaw", "pitch", "c.x", "c.y")

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DECLINING
+from .ranges import first_holding
 
 BINS, RESAMPLES, SEED = 5, 1000, 20260101
+#: Samples up to which an interval comes from the fixed stream; more are resampled where they are, by sums.
+FEW = 50_000
 
 
 def samples(truth: DataFrame, step: float | None = None) -> DataFrame:
@@ -30,12 +33,11 @@ def samples(truth: DataFrame, step: float | None = None) -> DataFrame:
 
 def predictions(truth: DataFrame, events: DataFrame, step: float | None = None) -> DataFrame:
     """One row for each sample, with the first event (by event_no) of its viewer that holds it, and whether that is a hit."""
-    s = samples(truth, step)
-    e = events.select("recording_id", "viewer_id", F.col("event_no").alias("n"), F.col("target").alias("said"), F.col("start_time").alias("es"), F.col("end_time").alias("ee"), F.col("confidence").alias("sure"))
-    by = ["recording_id", "viewer_id"]
-    held = s.select(*by, "truth_no", "k", "t").join(e, by).filter("es <= t and t < ee")
-    first = held.groupBy(*by, "truth_no", "k").agg(F.min_by(F.struct("said", "sure"), "n").alias("p"))
-    rows = s.join(first, [*by, "truth_no", "k"], "left").withColumns({"predicted": F.col("p.said"), "confidence": F.col("p.sure")}).drop("p")
+    e = events.select(
+        "recording_id", "viewer_id", F.col("event_no").alias("n"), F.col("start_time").alias("es"), F.col("end_time").alias("ee"), F.col("target").alias("said"), F.col("confidence").alias("sure")
+    )
+    rows = first_holding(samples(truth, step), "t", e, ["recording_id", "viewer_id"], "n", "es", "ee", ["said", "sure"], "p")
+    rows = rows.withColumns({"predicted": F.col("p.said"), "confidence": F.col("p.sure")}).drop("p")
     answered = F.col("predicted").isNotNull() & ~F.col("predicted").isin(*DECLINING)
     return rows.withColumn("answered", answered).withColumn("hit", answered & (F.col("predicted") == F.col("target")))
 
@@ -73,9 +75,11 @@ def order() -> Column:
 
 def baselines(p: DataFrame, candidates: int | None = None) -> DataFrame:
     """strategy, score: always_unknown, uniform_random, majority_truth, model_modal_target. Empty without samples."""
-    by_truth = p.groupBy("target").agg(F.count("*").alias("n"), F.min(order()).alias("at"))
+    # samples are read once: all that follows comes from a row for each pair of a target and an answer
+    cells = p.groupBy("target", F.when(F.col("answered"), F.col("predicted")).alias("predicted")).agg(F.count("*").alias("n"), F.min(order()).alias("at"))
+    by_truth = cells.groupBy("target").agg(F.sum("n").alias("n"))
     truth = by_truth.agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count(F.when(~F.col("target").isin(*DECLINING, "off_screen"), 1)).alias("targets"))
-    modal = p.filter("answered").groupBy("predicted").agg(F.count("*").alias("n"), F.min(order()).alias("at"))
+    modal = cells.filter("predicted is not null").groupBy("predicted").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
     # the most frequent one; of equals the one that came first
     best = modal.agg(F.max("n").alias("n")).join(modal, "n").agg(F.min_by("predicted", "at").alias("best"))
     named = best.join(by_truth, F.col("best") == F.col("target"), "left").select(F.coalesce("n", F.lit(0)).alias("modal"))
@@ -126,6 +130,13 @@ def bootstrap(p: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> Dat
     return bits.mapInPandas(work, "low double, high double")
 
 
+def interval(p: DataFrame, total: int) -> tuple[float, float, str]:
+    """Low and high of the hit rate's 95 % interval, and how it was found."""
+    how, made = ("fixed stream", bootstrap) if total <= FEW else ("poisson weights", bootstrap_poisson)
+    row = made(p).first()
+    return round(row["low"], 4), round(row["high"], 4), how
+
+
 def bootstrap_poisson(p: DataFrame, resamples: int = 200, seed: int = SEED) -> DataFrame:
     """The same interval for any number of samples: each gets a Poisson(1) weight in each resample; only sums are kept. Another stream."""
     u = F.pmod(F.xxhash64(F.lit(seed), "recording_id", "truth_no", "k", "b"), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -20,6 +20,7 @@ MOUTH = {"top": 13, "bottom": 14, "left": 61, "right": 291}
 #: Height of an eye as a share of its width that a five-point detector's faces are given, as it doesn't see lids.
 ASPECT = 0.45
 
+FIVE_POINTS = "recording_id bigint, ts double, person_id string, hit boolean, det array<float>, width int, height int"
 LANDMARKS = "recording_id bigint, ts double, person_id string, hit boolean, lm array<float>, head_pose struct<yaw:double,pitch:double,roll:double>, jaw double, detection double"
 
 

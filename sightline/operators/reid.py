@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cosine
 
-SAME = 0.6
+SAME, BLOCK = 0.6, 2000
 
 
 class Gallery:
@@ -45,7 +45,15 @@ def identify(rows: DataFrame, threshold: float = SAME) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, threshold: float = SAME) -> DataFrame:
-    """Pairs of a recording's faces at or above the threshold: a, b (a < b), score."""
-    left = rows.select("recording_id", F.col("ts").alias("a"), F.col("vec").alias("u"))
-    right = rows.select("recording_id", F.col("ts").alias("b"), F.col("vec").alias("v"))
-    return left.join(right, "recording_id").filter("a < b").withColumn("score", cosine(F.col("u"), F.col("v"))).filter(F.col("score") >= threshold).drop("u", "v")
+    """Pairs of a recording's faces at or above the threshold: a, b (a < b), score.
+
+    Every pair is compared, as the threshold is low and all pairs are asked for. A recording of more than BLOCK faces is dealt out in pairs
+    of blocks, so that no task holds more than two.
+    """
+    blocks = rows.groupBy("recording_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(blocks, "recording_id").withColumn("own", F.pmod(F.xxhash64("ts"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = own.select("recording_id", F.col("own").alias("p"), F.explode(every).alias("q"), F.col("ts").alias("a"), F.col("vec").alias("u"))
+    right = own.select("recording_id", F.explode(every).alias("p"), F.col("own").alias("q"), F.col("ts").alias("b"), F.col("vec").alias("v"))
+    scored = left.join(right, ["recording_id", "p", "q"]).filter("a < b").withColumn("score", cosine(F.col("u"), F.col("v")))
+    return scored.filter(F.col("score") >= threshold).select("recording_id", "a", "b", "score")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, calibration, coverage, diagnostics, events, layouts, temporal
@@ -23,6 +23,9 @@ class Outcome:
     layouts: DataFrame
     calibrations: DataFrame | None = None
     faces: DataFrame | None = None
+    segments: DataFrame | None = None
+    directions: DataFrame | None = None
+    iris: bool = True
 
     @property
     def points(self) -> DataFrame:
@@ -39,7 +42,18 @@ class Outcome:
         t = t.join(diagnostics.centre_mass(diagnostics.screen_histogram(self.points)), "recording_id", "left")
         if self.calibrations is not None:
             t = t.join(self.calibrations.groupBy("recording_id").agg(F.sum((~F.col("calibrated")).cast("int")).alias("uncalibrated")), "recording_id", "left")
-        return t
+        return t.withColumn("no_iris", F.lit(not self.iris))
+
+    def of(self, recording_id: int) -> Outcome:
+        """The run's rows of one recording, kept once they are computed: a record asks for them many times. What is lost is computed again."""
+        mine = lambda df: None if df is None else df.filter(F.col("recording_id") == recording_id).persist()
+        return replace(self, **{f.name: mine(getattr(self, f.name)) for f in fields(self) if f.name != "iris"})
+
+    def forget(self) -> None:
+        """Frees what of() kept."""
+        for f in fields(self):
+            if isinstance(df := getattr(self, f.name), DataFrame):
+                df.unpersist()
 
 
 def attribute(directions: DataFrame, recorded: DataFrame, config: Config = Config(), manifest: DataFrame | None = None, segments: DataFrame | None = None, calibrate: bool = False, faces: DataFrame | None = None) -> Outcome:
@@ -64,22 +78,28 @@ def attribute(directions: DataFrame, recorded: DataFrame, config: Config = Confi
     unseen = attribution.not_visible(used, merged, directions, own_source=manifest is not None)
     both = events.numbered(merged.unionByName(unseen))
     shown = layouts.viewer_layouts(directions.select("recording_id", F.col("person_id").alias("viewer_id")), recorded, manifest)
-    return Outcome(projected, fixed, judged, both, unseen, shown, fits, faces)
+    return Outcome(projected, fixed, judged, both, unseen, shown, fits, faces, segments, directions)
 
 
-def analyze(frames: DataFrame, stage, config: Config = Config(), manifest: DataFrame | None = None) -> Outcome:
-    """Frames (recording_id, ts, height, width, pixels) and a gaze stage to events. Pixels are read twice and never shuffled with results."""
+def analyze(frames: DataFrame, stage, config: Config = Config(), manifest: DataFrame | None = None, calibrate: bool = False) -> Outcome:
+    """Frames (recording_id, ts, height, width, pixels) and a stage to events. Pixels are read twice and never shuffled with results.
+
+    stage: a vision.Stage, or only its function. What the models find is kept, as they are the costly part; what is lost is found again.
+    Highlighted tiles become speaker segments, which calibrate uses.
+    """
     from ..operators import vision
 
+    stage = stage if isinstance(stage, vision.Stage) else vision.Stage(stage)
     sampled = temporal.sample_frames(frames, config.target_fps)
-    tiles = vision.frame_tiles(sampled, config.detection)
+    tiles = vision.frame_tiles(sampled, config.detection).persist()
     recorded = layouts.build_layouts(layouts.segment_layouts(tiles, config.layout_debounce), continuity=config.continuity)
-    seen = layouts.observe(sampled, recorded, stage, vision.STAGE)
+    seen = layouts.observe(sampled, recorded, stage.run, stage.schema).persist()
     faces = seen.select("recording_id", F.col("person_id").alias("participant_id"), "hit")
-    found = seen.filter("hit").withColumn("obs_no", F.hash("ts", "person_id").cast("long")).select(
-        "recording_id", "obs_no", "ts", "person_id", "yaw", "pitch", F.lit(None).cast("struct<yaw:double,pitch:double,roll:double>").alias("head_pose"), "confidence", F.lit(None).cast("struct<detection:double,size:double,openness:double,head:double>").alias("quality")
-    )
-    return attribute(found, recorded, config, manifest, faces=faces)
+    hits = seen.filter("hit").withColumn("obs_no", F.row_number().over(Window.partitionBy("recording_id", "person_id").orderBy("ts")).cast("long"))
+    found = stage.directions(hits) if stage.directions else hits
+    found = found.select("recording_id", "obs_no", "ts", "person_id", "yaw", "pitch", "head_pose", "confidence", "quality")
+    segments = events.speaker_segments(speaker_flags(tiles, recorded, config.target_fps))
+    return replace(attribute(found, recorded, config, manifest, segments, calibrate, faces), iris=stage.iris)
 
 
 def speaker_flags(tiles: DataFrame, recorded: DataFrame, fps: float = 5.0) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..operators import attribution, calibration, comparison, coverage, diagnostics, evaluation, events, layouts, reid, temporal
 from ..schemas import Config, Screen
 from ..sources import fixtures as X
-from .attribute import Outcome
+from .attribute import Outcome, speaker_flags
 
 C = Config()
 QUERIES: dict = {}
@@ -76,6 +76,11 @@ PARTS = {
     "samples": "select *, (start_time + end_time) / 2e0 as t from truth",
     "predicted": """select s.recording_id, s.viewer_id, s.truth_no, s.target, s.grid, arg_min(e.target, e.event_no) as predicted, arg_min(e.confidence, e.event_no) as confidence
         from samples s left join events_ e on e.recording_id = s.recording_id and e.viewer_id = s.viewer_id and e.start_time <= s.t and s.t < e.end_time group by all""",
+    "steps": "select *, start_time + 0.4e0 / 2e0 as t from truth where start_time + 0.4e0 / 2e0 < end_time union all select * replace (t + 0.4e0 as t) from steps where t + 0.4e0 < end_time",
+    "dense": "select * from steps union all select *, (start_time + end_time) / 2e0 as t from truth where not start_time + 0.4e0 / 2e0 < end_time",
+    "dense_predicted": """select s.recording_id, s.viewer_id, s.truth_no, s.t, s.target, arg_min(e.target, e.event_no) as predicted
+        from dense s left join events_ e on e.recording_id = s.recording_id and e.viewer_id = s.viewer_id and e.start_time <= s.t and s.t < e.end_time group by all""",
+    "dense_p": "select *, predicted is not null and predicted not in ('unknown', 'low_confidence', 'not_visible') as answered, coalesce(predicted is not null and predicted not in ('unknown', 'low_confidence', 'not_visible') and predicted = target, false) as hit from dense_predicted",
     "p": "select *, predicted is not null and predicted not in ('unknown', 'low_confidence', 'not_visible') as answered, coalesce(predicted is not null and predicted not in ('unknown', 'low_confidence', 'not_visible') and predicted = target, false) as hit from predicted",
     "fch": "select *, case when participant_id = lag(participant_id) over w then 0 else 1 end as c, row_number() over w as pos from flags window w as (partition by recording_id order by start_time, end_time, participant_id, confidence)",
     "frun": "select *, sum(c) over (partition by recording_id order by pos) as run from fch",
@@ -389,9 +394,10 @@ def eval_reliability(spark, d):
     return r.select("bin", "count", r6("mean_confidence", places=4), r6("hit_rate", places=4))
 
 
-@query()
+@query("""select count(*) as total, sum(hit::int)::bigint as hits, sum((predicted is null or predicted in ('unknown', 'low_confidence', 'not_visible'))::int)::bigint as unknown, sum((predicted is null)::int)::bigint as silent,
+      sum((answered and not hit)::int)::bigint as wrong, sum((target = 'off_screen')::int)::bigint as off_total, round(sum(hit::int) / count(*), 6) as hit_rate from dense_p""")
 def eval_dense(spark, d):
-    return evaluation.scores(_predictions(spark, d, 0.4))
+    return evaluation.scores(_predictions(spark, d, 0.4)).select("total", "hits", "unknown", "silent", "wrong", "off_total", r6("hit_rate"))
 
 
 @query()
@@ -487,11 +493,64 @@ def viewer_summary(spark, d):
     return s.withColumn("t", total).join(m, ["recording_id", "viewer_id"]).select("recording_id", "viewer_id", "events", r6("seconds", places=3))
 
 
-@query("select viewer_id as viewer, target, printf('%.3f', start_time) as start, printf('%.3f', end_time) as \"end\", reason from events_ where recording_id = 0")
+@query("select recording_id, viewer_id as viewer, target, printf('%.3f', start_time) as start, printf('%.3f', end_time) as \"end\", reason from events_")
 def event_csv(spark, d):
+    """The CSV sink's rows, of all recordings."""
     from ..sources.sinks import event_rows
 
-    return event_rows(_events(spark, d).filter("recording_id = 0")).select("viewer", "target", "start", "end", "reason")
+    return event_rows(_events(spark, d), ["recording_id"]).select("recording_id", "viewer", "target", "start", "end", "reason")
+
+
+@query("select recording_id, 'assumed_shared' as layout_sources, 2::bigint as layouts, 12::bigint as participants_detected from directions group by recording_id")
+def layout_sources(spark, d):
+    o = _outcome(spark, d)
+    t = coverage.totals(o.per_participant(), o.layouts)
+    return t.select("recording_id", F.array_join("layout_sources", ",").alias("layout_sources"), "layouts", "participants_detected")
+
+
+@query("""select m.recording_id, c.code from (select recording_id, count(*) as n, sum(case when abs(yaw) > 0.3e0 then 1 else 0 end) as far from directions group by recording_id) m
+    join (values ('no_layout', 0), ('no_participant_regions', 1), ('no_events', 2), ('uncalibrated_viewers', 3), ('no_iris_signal', 4)) c(code, k) on m.recording_id % 5 = c.k
+    union all select recording_id, 'high_off_screen_rate' from (select recording_id, count(*) as n, sum(case when abs(yaw) > 0.2e0 then 1 else 0 end) as far from directions group by recording_id) where far > 0.5e0 * n""")
+def degradations_rare(spark, d):
+    """The rules that a sound run never meets: each recording lacks something else."""
+    k = F.col("recording_id") % 5
+    far = F.sum((F.abs("yaw") > 0.2).cast("long"))
+    m = X.directions(spark, d).groupBy("recording_id").agg(F.count("*").alias("directions"), far.alias("off_screen")).withColumns({
+        "off_screen_rate": F.col("off_screen") / F.col("directions"), "layouts": F.when(k == 0, 0).otherwise(2), "participants_detected": F.when(k == 1, 0).otherwise(12), "events": F.when(k == 2, 0).otherwise(7),
+        "uncalibrated": F.when(k == 3, 4).otherwise(0), "no_iris": k == 4, "layout_sources": F.array(F.lit("manifest")), "face_attempts": F.lit(0), "face_hits": F.lit(0), "face_hit_rate": F.lit(0.0),
+    })
+    return coverage.degradations(m).select("recording_id", "code")
+
+
+@query("""select v.recording_id, v.viewer_id, l.layout_no, 'manifest' as source, l.n as n_regions from (select distinct recording_id, person_id as viewer_id from directions) v
+    join (select recording_id, layout_no, count(*) as n from regions group by all) l on l.recording_id = v.recording_id where cast(right(v.viewer_id, 1) as int) % 2 = l.layout_no""")
+def manifest_layouts(spark, d):
+    """Viewers of even number had the first layout, the others the second one; nobody else's counts for them."""
+    viewers = X.directions(spark, d).select("recording_id", F.col("person_id").alias("viewer_id")).distinct()
+    own = X.layouts(spark, d).drop("viewer_id").join(viewers, "recording_id").filter(F.substring("viewer_id", -1, 1).cast("int") % 2 == F.col("layout_no")).withColumn("source", F.lit("manifest"))
+    made = layouts.viewer_layouts(viewers, X.layouts(spark, d), own)
+    return made.select("recording_id", "viewer_id", F.col("layout_no").cast("int").alias("layout_no"), "source", F.size("regions").cast("long").alias("n_regions"))
+
+
+@query("""select obs_no, round(case when obs_no % 3 = 0 then q_detection when q_size <= 0.5e0 then null when obs_no % 3 = 1 then abs(0.7e0 + q_head / 10e0 - 0.7e0) / q_size else sqrt(0.3e0 * 0.3e0 + (q_openness / 10e0) * (q_openness / 10e0)) / q_size end, 6) as mouth_open from directions""")
+def mouth_cue(spark, d):
+    """The jaw's coefficient, else the gap of the lips, else the width of the mouth, by eye distances; null where none can be told."""
+    k, q = F.col("obs_no") % 3, F.col("quality")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    lip = lambda y: pt(F.when(k == 1, 0.5).otherwise(0.0), F.when(k == 1, y).otherwise(0.0))
+    iod = F.when(q["size"] <= 0.5, 0.0).otherwise(q["size"])
+    corner = pt(F.lit(0.35), F.lit(0.7)), pt(F.lit(0.65), 0.7 + q["openness"] / 10.0)
+    m = G.mouth_open(F.when(k == 0, q["detection"]), lip(F.lit(0.7)), lip(0.7 + q["head"] / 10.0), *corner, iod)
+    return X.directions(spark, d).select("obs_no", r6("mouth_open", m))
+
+
+@query("""select f.recording_id, round(f.ts, 6) as start_time, round(f.ts + 0.2e0, 6) as end_time, r.participant_id, 1e0 as confidence from frames f
+    join regions r on r.recording_id = f.recording_id and r.layout_no = case when f.ts < 12e0 then 0 else 1 end and r.region_no = f.k % 3 + case when f.ts < 12e0 then 0 else 1 end where f.k % 4 <> 3""")
+def highlight_flags(spark, d):
+    """A highlighted tile's place among the frame's participants names who speaks in the active layout."""
+    k = F.round(F.col("ts") * 5).cast("int")
+    tiles = X.frame_tiles(spark, d).withColumn("highlight", F.when(k % 4 != 3, k % 3))
+    return speaker_flags(tiles, X.layouts(spark, d)).select("recording_id", r6("start_time"), r6("end_time"), "participant_id", "confidence")
 
 
 @query("""select recording_id, person_id, obs_no, round(x, 6) as x, round(y, 6) as y from (select *, (yaw - radians(-20e0)) / (radians(20e0) - radians(-20e0)) as x, (radians(2e0) - pitch) / (radians(2e0) - radians(-22e0)) as y from directions) where x between 0 and 1 and y between 0 and 1""")

@@ -8,20 +8,34 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from ..operators import comparison, evaluation
+from ..operators import adapters, comparison, evaluation
 from ..schemas import Config
 from ..sources import readers, sinks, video
 from . import record as R
 from .attribute import analyze, attribute
 
 
-def _save(out, folder: str) -> None:
+def _stage(a: argparse.Namespace, config: Config) -> tuple:
+    """The gaze stage that the arguments name, and what the record says of it."""
+    if a.stage:
+        from importlib import import_module
+
+        module, _, name = a.stage.partition(":")
+        return getattr(import_module(module), name)(), [{"role": "gaze", "implementation": a.stage, "model_path": None}]
+    observer = {"role": "observer", "implementation": a.observer, "model_path": a.model}
+    return adapters.stage_of(a.gaze, a.observer, a.model, a.weights, config.gaze), [observer, {"role": "gaze", "implementation": a.gaze, "model_path": a.weights}]
+
+
+def _save(out, folder: str, watch: R.Stopwatch) -> None:
     for name in ("points", "fixations", "attributions", "events"):
-        sinks.write_table(getattr(out, name), f"{folder}/{name}")
+        with watch.stage(name):
+            sinks.write_table(getattr(out, name), f"{folder}/{name}")
 
 
-def _report(spark: SparkSession, out, folder: str, config: Config, recording: int, truth=None, made: dict | None = None) -> None:
-    doc = R.run_record(out, recording, config, truth, made=made)
+def _report(spark: SparkSession, out, folder: str, config: Config, recording: int, truth, made: dict | None, watch: R.Stopwatch) -> None:
+    with watch.stage("record"):
+        doc = R.run_record(out, recording, config, truth, made=made)
+    doc["timing"] = watch.report()
     sinks.write_record(doc, f"{folder}/report.json", spark)
     rows = [r.asDict() for r in out.events.filter(f"recording_id = {recording}").collect()]
     for ext, text in (("md", R.render_markdown(doc)), ("html", R.render_html(doc, rows))):
@@ -43,7 +57,11 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--manifest")
         s.add_argument("--calibrate", action="store_true")
         s.add_argument("--video")
-        s.add_argument("--stage", help="module:function that makes a gaze stage")
+        s.add_argument("--stage", help="module:function that makes a gaze stage of your own")
+        s.add_argument("--gaze", choices=("geometric", "appearance"), default="geometric")
+        s.add_argument("--observer", choices=("mesh", "five-point"), default="mesh")
+        s.add_argument("--model", help="the observer's model file")
+        s.add_argument("--weights", help="weights of the appearance model")
     c = sub.add_parser("compare")
     c.add_argument("left")
     c.add_argument("right")
@@ -58,21 +76,21 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(R.evaluation_summary(evaluation.predictions(truth, spark.read.parquet(f"{a.folder}/events"), a.step)), indent=2))
         return 0
     manifest = readers.read_manifest(spark, a.manifest, a.recording) if a.manifest else None
-    made = None
+    made, watch = None, R.Stopwatch()
     if a.verb == "analyze":
-        from importlib import import_module
-
-        module, _, name = a.stage.partition(":")
-        out = analyze(video.decode_video(spark, a.video), getattr(import_module(module), name)(), config, manifest)
-        made = R.provenance(config, video.probe_video(spark, a.video), [{"role": "gaze", "implementation": a.stage, "model_path": None}])
-        sinks.write_table(out.layouts, f"{a.folder}/layouts")
+        stage, adapters_ = _stage(a, config)
+        out = analyze(video.decode_video(spark, a.video), stage, config, manifest, a.calibrate)
+        made = R.provenance(config, video.probe_video(spark, a.video), adapters_)
+        for name, table in (("layouts", out.layouts), ("directions", out.directions), ("speaker_segments", out.segments)):
+            with watch.stage(name):  # tables are lazy: what is timed is their writing
+                sinks.write_table(table, f"{a.folder}/{name}")
     else:
         tables = {n: spark.read.parquet(f"{a.folder}/{n}") for n in ("directions", "layouts")}
         segments = spark.read.parquet(f"{a.folder}/speaker_segments") if a.calibrate else None
         out = attribute(tables["directions"], tables["layouts"], config, manifest, segments, a.calibrate)
     if a.verb != "report":
-        _save(out, a.folder)
-    _report(spark, out, a.folder, config, a.recording, truth, made)
+        _save(out, a.folder, watch)
+    _report(spark, out, a.folder, config, a.recording, truth, made, watch)
     return 0
 
 

@@ -73,6 +73,14 @@ def _one(df: DataFrame, recording_id: int) -> list[dict]:
 
 def run_record(out: Outcome, recording_id: int, config: Config = Config(), truth: DataFrame | None = None, step: float | None = None, made: dict | None = None, timing: dict | None = None) -> dict:
     """The record of one recording of a run. Its size follows the number of participants, not of samples."""
+    out = out.of(recording_id)
+    try:
+        return _record(out, recording_id, config, truth, step, made, timing)
+    finally:
+        out.forget()
+
+
+def _record(out: Outcome, recording_id: int, config: Config, truth: DataFrame | None, step: float | None, made: dict | None, timing: dict | None) -> dict:
     metrics = out.metrics()
     row = _one(metrics, recording_id)
     cover = {k: v for k, v in row[0].items() if k != "recording_id"} if row else {}
@@ -102,11 +110,11 @@ def run_record(out: Outcome, recording_id: int, config: Config = Config(), truth
 def evaluation_summary(p: DataFrame) -> dict:
     s = evaluation.scores(p).first().asDict()
     base = {r["strategy"]: r["score"] for r in evaluation.baselines(p).collect()}
-    ci = evaluation.bootstrap(p).first()
+    low, high, how = evaluation.interval(p, s["total"])
     best = max(base.values(), default=0.0)
     four = lambda d: {k: round(v, 4) if isinstance(v, float) else v for k, v in d.items()}
     return four(s) | {
-        "baselines": four(base), "best_baseline": round(best, 4), "beats_baseline": s["hit_rate"] > best, "hit_rate_ci95": [ci["low"], ci["high"]], "ece": round(evaluation.calibration_error(p).first()["ece"], 4),
+        "baselines": four(base), "best_baseline": round(best, 4), "beats_baseline": s["hit_rate"] > best, "hit_rate_ci95": [low, high], "interval": how, "ece": round(evaluation.calibration_error(p).first()["ece"], 4),
         "per_grid": {r["grid"]: [r["hits"], r["total"]] for r in evaluation.per_grid(p).collect()}, "reliability": [four(r.asDict()) for r in evaluation.reliability(p).orderBy("bin").collect()],
         "confusion": [r.asDict() for r in evaluation.confusion(p).orderBy("truth", "predicted").collect()],
     }

@@ -48,11 +48,11 @@ def save_manifest(layouts: DataFrame, path: str) -> None:
     manifest_document(layouts).coalesce(1).write.mode("overwrite").text(path)
 
 
-def event_rows(events: DataFrame) -> DataFrame:
-    """The seven columns of the CSV, numbers as text with three decimals."""
+def event_rows(events: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """The seven columns of the CSV, numbers as text with three decimals, after the columns in keep."""
     three = lambda c: F.format_string("%.3f", c)
-    return events.orderBy("viewer_id", "start_time").select(
-        F.col("viewer_id").alias("viewer"), "target", three(F.col("start_time")).alias("start"), three(F.col("end_time")).alias("end"), three(F.col("end_time") - F.col("start_time")).alias("duration"), three(F.col("confidence")).alias("confidence"), "reason"
+    return events.orderBy(*keep, "viewer_id", "start_time").select(
+        *keep, F.col("viewer_id").alias("viewer"), "target", three(F.col("start_time")).alias("start"), three(F.col("end_time")).alias("end"), three(F.col("end_time") - F.col("start_time")).alias("duration"), three(F.col("confidence")).alias("confidence"), "reason"
     )
 
 

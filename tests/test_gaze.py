@@ -296,6 +296,37 @@ def test_reliability_and_bins(spark):
     assert evaluation.reliability(edges).first()["bin"] == 2  # 3 * 0.2 is a little more than 0.6
 
 
+def test_first_holding_equals_a_product(spark):
+    from sightline.operators.ranges import first_holding
+
+    rng = random.Random(3)
+    spans = [(rng.randrange(3), k, a := rng.uniform(-30, 60), a + rng.choice([0.0, 0.4, 9.0, 45.0]), f"v{k}") for k in range(60)]
+    moments = [(rng.randrange(4), k, rng.choice([rng.uniform(-40, 120), spans[k % 60][2], spans[k % 60][3], 10.0])) for k in range(200)]
+    i = spark.createDataFrame(spans, "g long, n long, s double, e double, v string")
+    got = first_holding(spark.createDataFrame(moments, "g long, k long, t double"), "t", i, ["g"], "n", "s", "e", ["v"], "x").collect()
+    assert len(got) == len(moments)
+    for r in got:
+        held = [v for g, _, s, e, v in spans if g == r.g and s <= r.t < e]
+        assert (r.x.v if r.x else None) == (held[0] if held else None)
+
+
+def test_samples_and_events_meet_without_a_product(spark):
+    n = 300
+    truth = spark.createDataFrame([(0, "v", k, float(k), k + 1.0, "a", None) for k in range(n)], "recording_id long, viewer_id string, truth_no long, start_time double, end_time double, target string, grid string")
+    e = spark.createDataFrame([(0, "v", k, "a" if k % 2 else "unknown", float(k), k + 1.0, 0.9) for k in range(n)], "recording_id long, viewer_id string, event_no long, target string, start_time double, end_time double, confidence double")
+    p = evaluation.predictions(truth, e)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "_bin" in plan and "CartesianProduct" not in plan and p.count() == n and p.filter("hit").count() == n // 2
+
+
+def test_similar_pairs_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k % 2, float(k), rng.normal(size=4).tolist()) for k in range(60)], "recording_id long, ts double, vec array<double>")
+    want = sorted(map(tuple, reid.similar_pairs(df, 0.5).collect()))
+    monkeypatch.setattr(reid, "BLOCK", 7)
+    assert sorted(map(tuple, reid.similar_pairs(df, 0.5).collect())) == want and len(want) > 20
+
+
 def test_dense_samples(spark):
     truth, said = [(0, 10, "a", None)], [(4.5, 5.5, "a", 0.9)]
     assert evaluation.scores(scored(spark, truth, said)).first().hit_rate == 1.0
