@@ -328,6 +328,63 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def slow_language(text, model):
+    """The prediction for one text, by plain loops."""
+    mask = 2**64 - 1
+
+    def bucket(g):
+        x = len(g)
+        for c in g:
+            x = (x * 1_114_112 + ord(c)) & mask
+        for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ x >> shift) * k) & mask
+        return (x ^ x >> 31) % langid.BUCKETS
+
+    def script(c):
+        return next((k for a, b, k in langid.SCRIPTS if a <= ord(c) <= b), 0)
+
+    langs, ws, rows, letters = model["langs"], W.findall(text or ""), [], []
+    for w in ws:
+        s = " " + w.lower() + " "
+        grams = [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+        score = [sum(float(model["logp"][bucket(g), j]) for g in grams if any(c.isalpha() for c in g)) for j in range(len(langs))]
+        own = collections.Counter(script(c) for c in s if c.isalpha())
+        letters.append(sum(own.values()))
+        if own:
+            top = min(k for k in own if own[k] == max(own.values()))
+            score = [x if model["may"][top][j] else x - 1e6 for j, x in enumerate(score)]
+        rows.append(score)
+    if not sum(letters):
+        return "und", 0.0
+    best, back = rows[0], []
+    for row in rows[1:]:
+        change = max(best) - langid.PENALTY
+        back.append([j if best[j] >= change else best.index(max(best)) for j in range(len(langs))])
+        best = [max(best[j], change) + row[j] for j in range(len(langs))]
+    state = [best.index(max(best))]
+    for b in reversed(back):
+        state.append(b[state[-1]])
+    total = collections.Counter()
+    for j, n in zip(reversed(state), letters):
+        total[j] += n
+    top = min(j for j in total if total[j] == max(total.values()))
+    return langs[top], total[top] / sum(total.values())
+
+
+def test_language_equals_plain_loops(spark, docs, corpus):
+    en, de, ru = "the of and with this that from there where nothing", "der die das und nicht auch eine werden schon über", "это все также когда потому язык слово"
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(t.split()) for _ in range(30)), k) for i, (k, t) in enumerate([("en", en), ("de", de), ("ru", ru)] * 20)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    mixed_ = [(500 + k, " ".join(rng.choice((en + " " + de + " " + ru + " 12 -- x9").split()) for _ in range(rng.randrange(1, 60)))) for k in range(30)]
+    texts = {(r[0], r[1]) for r in corpus} | set(mixed_)
+    got = langid.identify(spark.createDataFrame(list(texts), "doc_id long, text string"), m, spans=False).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = slow_language(r.text, m)
+        assert r.lang_pred == want[0] and r.lang_score == pytest.approx(want[1]), r.text
+
+
 def test_rare_language_is_learned(spark):
     rows = [(i, "the of and with this that", "en") for i in range(3000)] + [(9000 + i, "og ikke det som en av", "no") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -412,6 +469,12 @@ def test_estimates_are_unbiased_and_bounded():
     assert near.mean() > 0.5 and (np.diag(est + wide)[near] >= 0.98).all() and ((est + wide >= 0.98).mean()) < 0.01
 
 
+def test_null_labels_and_ids(spark):
+    rows = [(None, [1.0, 0.0], None), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], None), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 0, None, True), (None, 0, None, True), (1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False)]))
+
+
 def test_large_and_small_components_are_scaled(spark):
     rows = [(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [-1.0, 2.0], 0)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
@@ -714,6 +777,51 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, both)
 
 
+def test_toxicity_scores_equal_plain_loops(docs, corpus):
+    rng = np.random.default_rng(5)
+    model = {"theta": rng.normal(size=toxicity.SIZE).astype(np.float32), "trans": np.log(np.array([[0.9, 0.1], [0.4, 0.6]])), "first": -1.5}
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(corpus)
+    for r in got:
+        ws = W.findall(r.text or "")[:400]
+        if not ws or len(W.findall(r.text)) > 400:
+            assert r.toxicity == 0 or len(W.findall(r.text)) > 400
+            continue
+        odds = [float(model["theta"][toxicity.features(pa.array([w], pa.large_string()))[0]].astype(float).sum()) for w in ws]
+        t = np.exp(model["trans"])
+        e = [np.array([1.0, math.exp(min(30, max(-30, x)))]) for x in odds]
+        fore = [e[0] * [1.0, math.exp(model["first"])]]
+        for x in e[1:]:
+            v = (fore[-1] @ t) * x
+            fore.append(v / v.sum())
+        aft = [np.ones(2)]
+        for x in reversed(e[1:]):
+            v = t @ (x * aft[-1])
+            aft.append(v / v.sum())
+        p = [(f * b)[1] / (f * b).sum() for f, b in zip(fore, reversed(aft))]
+        assert r.toxicity == pytest.approx(max(p), abs=1e-6)
+        covered = {i for i, m in enumerate(re.finditer(W, r.text)) for s in r.toxic_spans if s.start <= m.start() and m.end() <= s.end}
+        assert all(abs(x - toxicity.THRESHOLD) < 1e-6 or (i in covered) == (x >= toxicity.THRESHOLD) for i, x in enumerate(p))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = "\n".join(prose(rng, 40, 3000).replace("\n", " ") for _ in range(3000))
+    rows = [(1, long, "en", "a"), (2, long + "\nend", "en", "b"), (3, "short text", "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(long) > 500_000
+    got = {r.doc_id: r for r in lines.dedup_lines(df, counts=True).collect()}
+    assert got[1].text == long and got[2].n_removed == 3000 and got[2].text == "end"
+    m = langid.train(df, F.lit(True))
+    assert {r.lang_pred for r in langid.identify(df, m, spans=False).collect()} == {"en"}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.base_failed for r in quality.judge(df).collect()} == {1: False, 2: False, 3: True}
+    assert all(0 <= r.toxicity <= 1 for r in toxicity.score(df, {"theta": np.zeros(toxicity.SIZE, np.float32), "trans": np.zeros((2, 2)), "first": 0.0}).collect())
+    assert katz.katz_scores(df).filter("score < 0").count() == 3
+    assert pieces.decode(pieces.encode(df)).filter("text = decoded").count() == 3
+    assert mixing.mix(df, keep_text=False).count() == 3
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(15)
     words = [f"word{k}" for k in range(300)]

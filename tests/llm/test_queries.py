@@ -107,10 +107,28 @@ def test_toxic_words(spark):
     assert got[got["toxic"] == 0]["predicted"].mean() < 0.05
 
 
+def test_toxic_texts_are_found_where_they_were_not_learned(spark):
+    d = "/root/testdata/sf0.1"
+    labels = pd.read_parquet(f"{d}/labels.parquet")
+    got = queries.op10_toxicity(spark, d).toPandas().merge(labels, on="doc_id")
+    held = got[got["held_out"]]
+    hits = ((held["predicted"] == 1) & (held["toxic"] == 1)).sum()
+    assert hits >= 0.65 * held["toxic"].sum() > 30 and hits >= 0.85 * held["predicted"].sum()
+
+
 def test_mix_stays_in_bounds(spark, documents):
     got = queries.op9_source_mixing(spark, D).toPandas().merge(documents, on="doc_id")
     assert (got["size"] == got["text"].map(lambda t: len(W.findall(t)))).all() and (got["taken"] <= 3 * got["size"]).all()
     assert got.groupby("source")["target"].first().sum() == pytest.approx(got["size"].sum())
+    size, total = got.groupby("source")["size"].sum().to_dict(), float(got["size"].sum())
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))}
+    low, high = 0.0, total  # the level at which min(level * weight, 3 * size) add up to all words
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * weight[s], 3 * size[s]) for s in size) < total else (low, mid)
+    for s, g in got.groupby("source"):
+        want = min(low * weight[s], 3 * size[s])
+        assert g["target"].iloc[0] == pytest.approx(want, rel=1e-9) and abs(g["taken"].sum() - want) <= g["size"].median()
 
 
 def test_only_copies_of_a_text_are_near_copies(spark):
@@ -120,6 +138,22 @@ def test_only_copies_of_a_text_are_near_copies(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, texts[0]), (1, texts[1]), (3, texts[2]), (4, None), (None, texts[2])]))
 
 
+def test_pipeline_on_an_empty_table_and_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, ids int"
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text, None, None, None, 1, 1), (1, None, None, None, None, 2, 2), (2, text, "en", "s", 9, 3, 3), (2, text, "en", "s", 9, 3, 3), (2, "other words " + text[::-1], "en", "s", 9, 4, 4)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, D)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            if name == "n-gram Jaccard join" and data:
+                assert sorted((str(r.doc_id), r["a.b"]) for r in docs.collect()) == [("1", 2), ("2", 3), ("2", 4), ("None", 1)]
+        assert docs.columns == ["doc_id", "lang", "source", "ids", "n_tokens"] and (docs.count() > 0) == bool(data)
+
+
 def test_pipeline(spark, documents):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     seen = collections.OrderedDict()
