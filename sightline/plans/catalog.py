@@ -480,7 +480,12 @@ def reid_similarity(spark, d):
     return reid.similar_pairs(_faces(spark, d), 0.3).select("recording_id", "a", "b", r6("score"))
 
 
-@query()
+@query("""select recording_id, ts, person_id from (with recursive faces as (select vec_id // 50 as recording_id, vec_id::double as ts, embedding::double[] as v, row_number() over (partition by vec_id // 50 order by vec_id) as i from embeddings),
+    walk as (select recording_id, ts, i, [v] as leaders, 0 as who from faces where i = 1
+      union all select recording_id, ts, i, case when who < len(leaders) then leaders else list_append(leaders, v) end, who from (
+        select *, case when list_max(sims) >= 0.3e0 then len(sims) - list_position(list_reverse(sims), list_max(sims)) else len(sims) end as who from (
+          select f.recording_id, f.ts, f.i, f.v, w.leaders, list_transform(w.leaders, lambda l: list_cosine_similarity(l, f.v)) as sims from walk w join faces f on f.recording_id = w.recording_id and f.i = w.i + 1)))
+    select recording_id, ts, concat('person_', cast(who as varchar)) as person_id from walk)""")
 def reid_identify(spark, d):
     return reid.identify(_faces(spark, d), 0.3)
 

@@ -77,6 +77,31 @@ def read_record(spark: SparkSession, path: str) -> dict:
     return {k: doc.get(k) for k in ("schema", "version", "provenance", "config", "coverage", "diagnostics", "degradations", "identity_breaks", "timing", "results", "evaluation", "calibrations")}
 
 
+#: Bytes up to which a file is read as one value; larger ones are read in pieces of PIECE bytes.
+WHOLE, PIECE = 1 << 30, 8 << 20
+
+
+def _streamed(batches):
+    """path, length -> path, length, sha256, of files of any size."""
+    import hashlib
+    import re
+
+    from pyarrow import fs
+
+    for pdf in batches:
+        found = []
+        for path in pdf["path"]:
+            where, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with where.open_input_stream(name) as f:
+                while piece := f.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pdf[["path", "length"]].assign(sha256=found)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of files. One value holds 2 GB at most, so the content of larger files is streamed. Spark doesn't list empty ones."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= WHOLE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(files.filter(F.col("length") > WHOLE).select("path", "length").mapInPandas(_streamed, "path string, length bigint, sha256 string"))

@@ -1,8 +1,8 @@
-"""Structured Streaming forms of sampling, fixations and event merging.
+"""Structured Streaming forms of sampling, layout segmentation, fixations, and event and speaker merging.
 
 Input needs an event time `at` with a watermark; rows of a person must come in order within what the watermark allows. What is open
 when a person falls silent is given out when the watermark passes max_gap after their last row; later rows then start anew.
-State is what is still open: the samples of a fixation that may grow, or one event.
+State is what is still open: the samples of a fixation that may grow, one event or segment, or an arrangement and the run that may follow it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import geometry as G
 from ..operators.temporal import fixations_of
 from ..schemas import Config
 
@@ -138,6 +139,71 @@ def gaze_events(attributions: DataFrame, config: Config = Config()) -> DataFrame
     return group.applyInPandasWithState(step, EVENT, "target string, start double, end double, w double, wc double, source string, reasons array<string>, weights array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def layouts(frames: DataFrame, min_stable: float = 0.5, silence: float = 5.0) -> DataFrame:
+    """Arrangements of a stream of frames (recording_id, ts, tiles, at) that lasted, as segment_layouts finds them.
+
+    An arrangement is given out when the next one has lasted, and the last one, without an end, after `silence` seconds without frames.
+    """
+    tiles = dict((f.name, f.dataType) for f in frames.schema.fields)["tiles"].simpleString()
+    cols = ["recording_id", "interval_no", "start_time", "end_time", "tiles"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # the arrangement that counts (number, signature, start, tiles), and the run of equal frames at the end (signature, start, tiles)
+        no, sig, start, held, run, began, shown = state.get if state.exists else (-1, None, None, None, None, None, None)
+        out: list = []
+        if state.hasTimedOut:
+            out = [[*key, no, start, None, held]] if no >= 0 else []
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for ts, s, t in zip(rows["ts"], rows["sig"], rows["tiles"]):
+                if s != run or began is None:
+                    run, began, shown = s, ts, t
+                if no < 0 or (run != sig and ts - began >= min_stable):
+                    out += [[*key, no, start, began, held]] if no >= 0 else []
+                    no, sig, start, held = no + 1, run, began, shown
+            state.update((no, sig, start, held, run, began, shown))
+            state.setTimeoutTimestamp(max(START_MS + int(rows["ts"].iloc[-1] * 1000), state.getCurrentWatermarkMs()) + int(silence * 1000) + 1)
+        if out:
+            made = pd.DataFrame(out, columns=cols)
+            yield made.assign(end_time=made["end_time"].astype(float))
+
+    flat = frames.select("recording_id", "ts", "at", F.to_json(G.signature(F.col("tiles"))).alias("sig"), F.to_json("tiles").alias("tiles"))
+    schema, kept = "recording_id bigint, interval_no int, start_time double, end_time double, tiles string", "no int, sig string, start double, held string, run string, began double, shown string"
+    made = flat.groupBy("recording_id").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.withColumns({"end_time": F.when(~F.isnan("end_time"), F.col("end_time")), "tiles": F.from_json("tiles", tiles)})
+
+
+def speaker_segments(flags: DataFrame, least: float = 0.4, gap: float = 0.5) -> DataFrame:
+    """Segments of a stream of moments of speech (recording_id, participant_id, start_time, end_time, confidence, at)."""
+    cols = ["recording_id", "participant_id", "start_time", "end_time", "confidence"]
+
+    def close(key: tuple, s: tuple) -> list:
+        who, start, end, w, wc = s
+        return [[*key, who, start, end, wc / w]] if end - start >= least else []
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s, out = (tuple(state.get) if state.exists else None), []
+        if state.hasTimedOut:
+            out = close(key, s) if s else []
+            state.remove()
+        else:
+            for r in pd.concat(list(batches)).sort_values(["start_time", "end_time", "participant_id", "confidence"], kind="stable").itertuples():
+                w = max(r.end_time - r.start_time, 1e-9)
+                if s and s[0] == r.participant_id and r.start_time - s[2] <= gap:
+                    s = (s[0], s[1], max(s[2], r.end_time), s[3] + w, s[4] + w * r.confidence)
+                else:
+                    out += close(key, s) if s else []
+                    s = (r.participant_id, r.start_time, r.end_time, w, w * r.confidence)
+            state.update(s)
+            state.setTimeoutTimestamp(max(START_MS + int(s[2] * 1000), state.getCurrentWatermarkMs()) + int(gap * 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=cols)
+
+    schema = "recording_id bigint, participant_id string, start_time double, end_time double, confidence double"
+    return flags.groupBy("recording_id").applyInPandasWithState(step, schema, "who string, start double, end double, w double, wc double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_looks(events: DataFrame, window: str = "1 minute") -> DataFrame:
     """Seconds by viewer and target in windows of event time; late rows beyond the watermark are left out."""
     return events.groupBy(F.window("at", window), "recording_id", "viewer_id", "target").agg(F.sum(F.col("end_time") - F.col("start_time")).alias("seconds"))

@@ -130,3 +130,13 @@ def test_compare_records():
     alone = compare(left, right | {"evaluation": None})
     assert alone["evaluation"] == [("evaluation", True, False)] and "only one run has scores" in alone["notes"]
     assert compare({}, {})["comparable"]
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    for k, n in enumerate((1, 10, 5000, 100_000)):
+        (tmp_path / f"f{k}").write_bytes(bytes(range(256)) * (n // 256) + b"x" * (n % 256))
+    monkeypatch.setattr(readers, "WHOLE", 1000)
+    got = {r.path.split("/")[-1]: (r.length, r.sha256) for r in readers.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {f"f{k}": (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for k in range(4) for p in [tmp_path / f"f{k}"]}

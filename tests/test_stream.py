@@ -71,6 +71,44 @@ def test_first_frames(spark, tmp_path):
     assert sorted(r.bucket for r in got) == [0, 1, 2, 3, 4]
 
 
+def test_layouts(spark, tmp_path):
+    from sightline.operators import layouts
+    from sightline.schemas import TILE
+
+    rng, rows, t = np.random.default_rng(6), [], 0.0
+    kinds = [[("participant", x / 4, 0.0, 0.25, 0.5) for x in range(n)] for n in (0, 2, 3, 4)]
+    for _ in range(25):
+        arrangement = kinds[rng.integers(0, 4)]
+        for _ in range(rng.integers(1, 9)):
+            rows.append((0, round(t, 3), arrangement))
+            t += 0.2
+    df = spark.createDataFrame(rows, f"recording_id bigint, ts double, tiles array<{TILE}>")
+    for k, part in enumerate(np.array_split(np.arange(len(rows)), 6)):
+        spark.createDataFrame([rows[i] for i in part], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    for k in (1, 2, 3):
+        spark.createDataFrame([(9, t + 1000.0 * k, [])], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    got = [r for r in run(stateful.layouts(stream(spark, df, str(tmp_path / "l"), "ts"), 0.5), spark, "lay") if r.recording_id == 0]
+    key = lambda r: (r.interval_no, round(r.start_time, 6), r.end_time and round(r.end_time, 6), len(r.tiles))
+    want = sorted(map(key, layouts.segment_layouts(df, 0.5).collect()))
+    assert sorted(map(key, got)) == want and len(want) > 6 and want[-1][2] is None
+
+
+def test_speakers(spark, tmp_path):
+    rng, rows, t = np.random.default_rng(7), [], 0.0
+    for _ in range(80):
+        rows.append((0, round(t, 3), round(t + 0.2, 3), str(rng.choice(["a", "b"], p=[0.8, 0.2])), float(rng.choice([0.6, 1.0]))))
+        t += float(rng.choice([0.2, 0.6, 0.9]))
+    df = spark.createDataFrame(rows, "recording_id bigint, start_time double, end_time double, participant_id string, confidence double")
+    for part in np.array_split(np.arange(len(rows)), 5):
+        spark.createDataFrame([rows[i] for i in part], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    for k in (1, 2, 3):
+        spark.createDataFrame([(9, t + 1000.0 * k, t + 1000.0 * k + 0.2, "a", 1.0)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    got = [r for r in run(stateful.speaker_segments(stream(spark, df, str(tmp_path / "s"), "start_time")), spark, "sp") if r.recording_id == 0]
+    key = lambda r: (r.participant_id, round(r.start_time, 6), round(r.end_time, 6), round(r.confidence, 6))
+    want = events.speaker_segments(df).collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 8
+
+
 def test_median3():
     v = np.array([1.0, 9.0, 2.0, 3.0])
     assert stateful.median3(v, False, False).tolist() == [5.0, 2.0, 3.0, 2.5]
