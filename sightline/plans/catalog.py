@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import attribution, calibration, comparison, coverage, diagnostics, evaluation, events, layouts, reid, temporal
-from ..schemas import Config, Screen
+from ..operators import attribution, calibration, checks, comparison, coverage, diagnostics, evaluation, events, layouts, reid, temporal, vision
+from ..schemas import Config, Screen, schema
 from ..sources import fixtures as X
+from ..sources import readers, sinks
 from .attribute import Outcome, speaker_flags
 
 C = Config()
@@ -565,3 +566,120 @@ def project_other_screen(spark, d):
     s = Screen(math.radians(-20.0), math.radians(20.0), math.radians(2.0), math.radians(-22.0), 0.0)
     p = temporal.project(X.directions(spark, d), s).filter("not off_screen")
     return p.select("recording_id", "person_id", "obs_no", r6("x"), r6("y"))
+
+
+# What is written is read back, by the sinks and readers themselves.
+
+
+def _written(spark, df, name: str) -> str:
+    """A table as JSON lines, with the columns of its entity."""
+    path = sinks.scratch(spark)
+    have = set(df.columns)
+    sinks.write_jsonl(df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)]), path)
+    return path
+
+
+@query("""select recording_id, event_no, viewer_id, target, reason, 'assumed_shared' as layout_source, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(confidence, 6) as confidence from events_""")
+def stored_events(spark, d):
+    got = readers.read_events(spark, _written(spark, _events(spark, d), "gaze_events"), None)
+    return got.select("recording_id", "event_no", "viewer_id", "target", "reason", "layout_source", *[r6(c) for c in ("start_time", "end_time", "confidence")])
+
+
+@query("""select recording_id, viewer_id, target, reason, round(start_time, 6) as start_time, round(confidence, 6) as confidence, round(margin_ratio, 6) as margin_ratio from attributions""")
+def stored_attributions(spark, d):
+    got = readers.read_attributions(spark, _written(spark, _outcome(spark, d).attributions, "attributions"), None)
+    return got.select("recording_id", "viewer_id", "target", "reason", *[r6(c) for c in ("start_time", "confidence", "margin_ratio")])
+
+
+@query("""select recording_id, layout_no, region_no, kind, participant_id, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(x, 6) as x, round(y, 6) as y, round(width, 6) as width, round(height, 6) as height from regions""")
+def stored_layouts(spark, d):
+    got = readers.read_layouts(spark, _written(spark, X.layouts(spark, d), "layouts"), None)
+    rows = got.select("recording_id", "layout_no", "start_time", "end_time", F.posexplode("regions").alias("region_no", "r"))
+    return rows.select("recording_id", "layout_no", "region_no", "r.kind", "r.participant_id", r6("start_time"), r6("end_time"), *[r6(c, F.col(f"r.{c}")) for c in ("x", "y", "width", "height")])
+
+
+@query("""select recording_id, obs_no, person_id, round(ts, 6) as ts, round(x, 6) as x, round(y, 6) as y, round(confidence, 6) as confidence from projected where not off_screen""")
+def stored_points(spark, d):
+    p = temporal.project(X.directions(spark, d)).filter("not off_screen")
+    got = readers.read_points(spark, _written(spark, p, "gaze_points"), None)
+    return got.select("recording_id", "obs_no", "person_id", *[r6(c) for c in ("ts", "x", "y", "confidence")])
+
+
+@query("""select recording_id, segment_no, participant_id, 'highlight' as cue, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(confidence, 6) as confidence from speech""")
+def stored_segments(spark, d):
+    got = readers.read_speaker_segments(spark, _written(spark, events.speaker_segments(X.speaker_flags(spark, d)), "speaker_segments"), None)
+    return got.select("recording_id", "segment_no", "participant_id", "cue", *[r6(c) for c in ("start_time", "end_time", "confidence")])
+
+
+@query("""select recording_id, truth_no, viewer_id, target, grid, round(start_time, 6) as start_time, round(end_time, 6) as end_time from truth""")
+def stored_truth(spark, d):
+    got = readers.read_truth(spark, _written(spark, X.truth(spark, d), "truth"), None)
+    return got.select("recording_id", "truth_no", "viewer_id", "target", "grid", *[r6(c) for c in ("start_time", "end_time")])
+
+
+@query("""select concat(cast(recording_id as varchar), '/all') as viewer_id, layout_no, 'manifest' as source, round(start_time, 6) as start_time, round(min(end_time), 6) as end_time, count(*)::int as n_regions from regions group by recording_id, layout_no, start_time""")
+def stored_manifest(spark, d):
+    """A viewer for each recording, in one manifest."""
+    path = sinks.scratch(spark)
+    sinks.save_manifest(X.layouts(spark, d).withColumn("viewer_id", F.concat(F.col("recording_id").cast("string"), F.lit("/all"))), path)
+    got = readers.read_manifest(spark, path)
+    return got.select("viewer_id", "layout_no", "source", r6("start_time"), r6("end_time"), F.size("regions").alias("n_regions"))
+
+
+@query("""select recording_id, person_id, obs_no, round(yaw, 6) as yaw, round(pitch, 6) as pitch, round(confidence, 6) as confidence, round(q_size, 6) as q_size from directions""")
+def stored_directions(spark, d):
+    """The native form: Parquet by recording, in two appends."""
+    path, rows = sinks.scratch(spark), X.directions(spark, d)
+    sinks.write_table(rows.filter("obs_no % 2 = 0"), path)
+    sinks.write_table(rows.filter("obs_no % 2 = 1"), path, append=True)
+    got = spark.read.schema(rows.schema).parquet(path)
+    return got.select("recording_id", "person_id", "obs_no", r6("yaw"), r6("pitch"), r6("confidence"), r6("q_size", F.col("quality.size")))
+
+
+@query("""select recording_id, obs_no, array_to_string(list_filter([case when obs_no % 23 = 0 then 'ts' end, case when obs_no % 17 = 0 then 'yaw' end, case when obs_no % 19 = 0 then 'confidence' end, case when obs_no % 29 = 0 then 'quality' end], lambda x: x is not null), ',') as broken
+    from directions where obs_no % 23 = 0 or obs_no % 17 = 0 or obs_no % 19 = 0 or obs_no % 29 = 0""")
+def broken_directions(spark, d):
+    """Directions of which some break a rule, or several, by construction."""
+    n, c = F.col("obs_no"), F.col
+    bad = X.directions(spark, d).withColumns({
+        "ts": F.when(n % 23 == 0, -1.0 - c("ts")).otherwise(c("ts")), "yaw": F.when(n % 17 == 0, F.lit(float("nan"))).otherwise(c("yaw")), "confidence": F.when(n % 19 == 0, c("confidence") + 1).otherwise(c("confidence")),
+        "quality": F.when(n % 29 == 0, c("quality").withField("size", F.lit(-0.5))).otherwise(c("quality")),
+    })
+    return checks.broken(bad, "gaze_directions").select("recording_id", "obs_no", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""select recording_id, person_id as viewer_id, obs_no, 'off_screen' as target, round(confidence, 6) as confidence, 'off_screen' as reason, cast(null as double) as margin_ratio from projected where off_screen""")
+def sentinel_verdicts(spark, d):
+    """Off-screen directions as verdicts that need no layout."""
+    p = temporal.project(X.directions(spark, d)).filter("off_screen").withColumn("v", attribution.sentinel("off_screen", F.col("confidence")))
+    return p.select("recording_id", F.col("person_id").alias("viewer_id"), "obs_no", "v.target", r6("confidence", F.col("v.confidence")), "v.reason", "v.margin_ratio")
+
+
+@query("""select v.recording_id, v.viewer_id, case when s.recording_id is null then 0 else count(l.obs_no) end as labels, case when s.recording_id is null then 'no speaker segments' when count(l.obs_no) < 5 then 'too few weak labels' else 'tried' end as reason
+    from (select distinct recording_id, person_id as viewer_id from directions) v left join (select distinct recording_id from speech) s on s.recording_id = v.recording_id
+    left join labels_ l on l.recording_id = v.recording_id and l.viewer_id = v.viewer_id group by v.recording_id, v.viewer_id, s.recording_id""")
+def calibration_reasons(spark, d):
+    """Why a viewer's prior stays; whether a fit that is tried succeeds depends on a random stream."""
+    few = F.col("reason").isin("no layout", "no speaker segments", "too few weak labels")
+    return calibration_ransac(spark, d).select("recording_id", "viewer_id", "labels", F.when(few, F.col("reason")).otherwise("tried").alias("reason"))
+
+
+@query("""select recording_id, round(start_time, 6) as ts, region_no as tile_no, kind, round(x + 0.01e0, 4) as x, round(y + 0.01e0, 4) as y, round(width - 0.02e0, 4) as width, round(height - 0.02e0, 4) as height, case when recording_id % 4 < 3 then (recording_id % 4)::int end as highlight from regions""")
+def rendered_tiles(spark, d):
+    """Tiles and highlights that detection finds in frames drawn from known layouts."""
+    found = vision.frame_tiles(X.rendered_frames(X.layouts(spark, d)))
+    rows = found.select("recording_id", "ts", "highlight", F.posexplode("tiles").alias("tile_no", "t"))
+    return rows.select("recording_id", r6("ts"), "tile_no", "t.kind", *[r6(c, F.col(f"t.{c}"), 4) for c in ("x", "y", "width", "height")], "highlight")
+
+
+@query("""select recording_id, round(start_time, 6) as ts, participant_id as person_id, region_no % 5 <> 4 as hit, case when region_no % 5 <> 4 then (60 + 10 * region_no) / 100e0 end as yaw from regions where kind = 'participant'""")
+def observed_crops(spark, d):
+    """Every participant's crop of the active layout, by a stage that reads the level at its middle and declines two levels."""
+
+    def look(crop, person, ts):
+        level = int(crop[crop.shape[0] // 2, crop.shape[1] // 2, 0])
+        return None if level in (100, 150) else {"yaw": level / 100, "pitch": 0.0, "confidence": 1.0}
+
+    lays = X.layouts(spark, d)
+    seen = layouts.observe(X.rendered_frames(lays), lays, vision.gaze_stage(look), vision.STAGE)
+    return seen.select("recording_id", r6("ts"), "person_id", "hit", "yaw")

@@ -127,3 +127,38 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Face attempts: one for each direction, and one without a face for every seventh."""
     d = directions(spark, sf_dir).select("recording_id", F.col("person_id").alias("participant_id"), "obs_no")
     return d.select("recording_id", "participant_id", F.lit(True).alias("hit")).unionByName(d.filter("obs_no % 7 = 0").select("recording_id", "participant_id", F.lit(False).alias("hit")))
+
+
+#: Height and width of rendered frames, and the gutter on each side of a tile, as a share of the frame.
+RENDERED, GUTTER = (600, 900), 0.01
+
+
+def rendered_frames(layouts: DataFrame) -> DataFrame:
+    """A frame at the start of each layout: its regions on a dark ground, the n-th one of level 60 + 10 n.
+
+    The border of one participant is bright: the one whose place is the recording's number, modulo 4; 3 stands for none.
+    """
+    import numpy as np
+    import pandas as pd
+
+    height, width = RENDERED
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for rec, ts, regions in zip(pdf["recording_id"], pdf["start_time"], pdf["regions"]):
+                image, place = np.full((height, width, 3), 20, np.uint8), 0
+                for i, r in enumerate(regions):
+                    y0, y1 = round((r["y"] + GUTTER) * height), round((r["y"] + r["height"] - GUTTER) * height)
+                    x0, x1 = round((r["x"] + GUTTER) * width), round((r["x"] + r["width"] - GUTTER) * width)
+                    if r["kind"] == "participant":
+                        edge = max(1, round(0.06 * min(y1 - y0, x1 - x0)))
+                        if place == rec % 4 and place < 3:
+                            image[y0:y1, x0:x1] = 250
+                            y0, y1, x0, x1 = y0 + edge, y1 - edge, x0 + edge, x1 - edge
+                        place += 1
+                    image[y0:y1, x0:x1] = 60 + 10 * i
+                out.append((rec, float(ts), height, width, image.tobytes()))
+            yield pd.DataFrame(out, columns=["recording_id", "ts", "height", "width", "pixels"])
+
+    return layouts.select("recording_id", "start_time", "regions").mapInPandas(draw, "recording_id bigint, ts double, height int, width int, pixels binary")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..schemas import RECORD_KIND, RECORD_VERSION, REGION, STORE_KIND, STORE_READABLE, schema
 
 
-def _json(spark: SparkSession, path: str, name: str, recording_id: int, number: str | None = None) -> DataFrame:
+def _json(spark: SparkSession, path: str, name: str, recording_id: int | None, number: str | None = None) -> DataFrame:
+    """Rows of one recording, numbered as they come; with recording_id None, of many recordings that name themselves and keep their numbers."""
+    if recording_id is None:
+        return spark.read.schema(schema(name)).option("mode", "FAILFAST").json(path)
     fields = [f for f in schema(name) if f.name not in ("recording_id", number)]
     s = type(schema(name))(fields)
     df = spark.read.schema(s).option("mode", "FAILFAST").json(path)
@@ -20,42 +23,46 @@ def _json(spark: SparkSession, path: str, name: str, recording_id: int, number:
 
 
 def read_gaze(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
-    """Raw directions: a header that names the schema and a readable version, then one object a line. A missing quality is null."""
+    """Raw directions: a header that names the schema and a readable version, and one object a line. A missing quality is null.
+
+    Appended files come in any order, so the header may be in any of them; one that isn't readable is an error wherever it is.
+    obs_no rises inside a file.
+    """
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    head = lines.limit(1).collect()
-    try:
-        first = json.loads(head[0]["value"]) if head else {}
-    except ValueError:
-        first = {}
-    if not isinstance(first, dict) or not str(first.get("schema")).endswith(STORE_KIND) or first.get("version") not in STORE_READABLE:
-        raise ValueError(f"{path} isn't a readable store of gaze directions")
-    body = lines.filter(F.get_json_object("value", "$.schema").isNull()).withColumn("obs_no", F.monotonically_increasing_id())
+    kind, version = F.get_json_object("value", "$.schema"), F.get_json_object("value", "$.version").cast("int")
+    readable = F.coalesce(kind.endswith(STORE_KIND) & version.isin(*STORE_READABLE), F.lit(False))
+    problem = f"{path} isn't a readable store of gaze directions"
+    head = lines.filter(kind.isNotNull()).select(readable.alias("ok")).limit(1).collect()
+    if not head or not head[0]["ok"]:
+        raise ValueError(problem)
+    isbody = F.when(kind.isNull(), True).when(readable, False).otherwise(F.raise_error(F.lit(problem)).cast("boolean"))
+    body = lines.filter(isbody).withColumn("obs_no", F.monotonically_increasing_id())
     s = type(schema("gaze_directions"))([f for f in schema("gaze_directions") if f.name not in ("recording_id", "obs_no")])
     rows = body.select("obs_no", F.from_json("value", s, {"mode": "FAILFAST"}).alias("r")).select("obs_no", "r.*")
     return rows.withColumn("recording_id", F.lit(recording_id).cast("long")).select(*[c.name for c in schema("gaze_directions")])
 
 
-def read_layouts(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
+def read_layouts(spark: SparkSession, path: str, recording_id: int | None = 0) -> DataFrame:
     return _json(spark, path, "layouts", recording_id, "layout_no").withColumn("layout_no", F.col("layout_no").cast("int"))
 
 
-def read_points(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
+def read_points(spark: SparkSession, path: str, recording_id: int | None = 0) -> DataFrame:
     return _json(spark, path, "gaze_points", recording_id, "obs_no")
 
 
-def read_attributions(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
+def read_attributions(spark: SparkSession, path: str, recording_id: int | None = 0) -> DataFrame:
     return _json(spark, path, "attributions", recording_id)
 
 
-def read_events(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
+def read_events(spark: SparkSession, path: str, recording_id: int | None = 0) -> DataFrame:
     return _json(spark, path, "gaze_events", recording_id, "event_no").withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
-def read_speaker_segments(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
+def read_speaker_segments(spark: SparkSession, path: str, recording_id: int | None = 0) -> DataFrame:
     return _json(spark, path, "speaker_segments", recording_id, "segment_no")
 
 
-def read_truth(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
+def read_truth(spark: SparkSession, path: str, recording_id: int | None = 0) -> DataFrame:
     return _json(spark, path, "truth", recording_id, "truth_no")
 
 

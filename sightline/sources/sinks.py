@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import STORE_SCHEMA, STORE_VERSION
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all machines share: under spark.checkpoint.dir, or on this machine where it is the only one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sightline-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     """Parquet, partitioned by recording, so that a reader of one recording reads no other."""
     df.write.mode("append" if append else "overwrite").partitionBy("recording_id").parquet(path)

@@ -30,6 +30,9 @@ def test_gaze_store(spark, tmp_path):
     assert got.count() == 20 and got.drop("recording_id", "obs_no").exceptAll(d.drop("recording_id", "obs_no")).count() == 0
     sinks.append_gaze(d, str(tmp_path / "g"))
     assert readers.read_gaze(spark, str(tmp_path / "g")).count() == 40
+    sinks.write_gaze(d.limit(1), str(tmp_path / "small"))
+    sinks.append_gaze(d, str(tmp_path / "small"))  # Spark reads the larger file, without a header, first
+    assert readers.read_gaze(spark, str(tmp_path / "small")).count() == 21
     old = lines(tmp_path / "v1.jsonl", [{"schema": "other.gaze", "version": 1}, {"ts": 1.0, "person_id": "p", "yaw": 0.1, "pitch": 0.2, "confidence": 0.5}])
     assert readers.read_gaze(spark, old).first().quality is None
     for bad in ([{"schema": "other.gaze", "version": 3}], [{"ts": 1}], [{"schema": "other.thing", "version": 1}]):
