@@ -16,6 +16,7 @@ from ..operators import attribution, calibration, checks, comparison, coverage,
 from ..schemas import Config, Screen, schema
 from ..sources import fixtures as X
 from ..sources import readers, sinks
+from ..streaming import stateful
 from .attribute import Outcome, speaker_flags
 
 C = Config()
@@ -683,3 +684,47 @@ def observed_crops(spark, d):
     lays = X.layouts(spark, d)
     seen = layouts.observe(X.rendered_frames(lays), lays, vision.gaze_stage(look), vision.STAGE)
     return seen.select("recording_id", r6("ts"), "person_id", "hit", "yaw")
+
+
+# Streams over a stored table give what the table gives. The state of what is still open is given out by a last row, of a recording of its own, that moves the watermark.
+
+
+def _streamed(spark, df, time: str, op):
+    """op over df as a stream; its result, as a table."""
+    path = sinks.scratch(spark)
+    last = df.limit(1).withColumns({"recording_id": F.lit(-1).cast("long"), time: F.lit(1e7)})
+    df.unionByName(last).write.parquet(f"{path}/in")
+    made = op(stateful.with_event_time(spark.readStream.schema(df.schema).parquet(f"{path}/in"), time, "1 second"))
+    to = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append")
+    to.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/out").filter("recording_id >= 0")
+
+
+@query("select recording_id, person_id, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(x, 6) as x, round(y, 6) as y, round(confidence, 6) as confidence from fixations")
+def stream_fixations(spark, d):
+    p = temporal.project(X.directions(spark, d)).filter("not off_screen").select("recording_id", "person_id", "ts", "x", "y", "confidence")
+    return _streamed(spark, p, "ts", stateful.fixations).select("recording_id", "person_id", *[r6(c) for c in ("start_time", "end_time", "x", "y", "confidence")])
+
+
+@query("select recording_id, viewer_id, target, reason, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(confidence, 6) as confidence from gaze")
+def stream_events(spark, d):
+    a = _outcome(spark, d).attributions.select("recording_id", "viewer_id", "start_time", "end_time", "target", "confidence", "reason", "layout_source")
+    return _streamed(spark, a, "start_time", stateful.gaze_events).select("recording_id", "viewer_id", "target", "reason", *[r6(c) for c in ("start_time", "end_time", "confidence")])
+
+
+@query("select i.recording_id, i.interval_no::int as interval_no, round(i.start_time, 6) as start_time, round(i.end_time, 6) as end_time, (select count(*) from tiles t where t.recording_id = i.recording_id and t.k = i.k)::int as n_tiles from intervals i")
+def stream_layouts(spark, d):
+    got = _streamed(spark, X.frame_tiles(spark, d), "ts", lambda s: stateful.layouts(s, C.layout_debounce))
+    return got.select("recording_id", "interval_no", r6("start_time"), r6("end_time"), F.size("tiles").alias("n_tiles"))
+
+
+@query("select recording_id, participant_id, round(start_time, 6) as start_time, round(end_time, 6) as end_time, round(confidence, 6) as confidence from speech")
+def stream_speakers(spark, d):
+    return _streamed(spark, X.speaker_flags(spark, d), "start_time", stateful.speaker_segments).select("recording_id", "participant_id", *[r6(c) for c in ("start_time", "end_time", "confidence")])
+
+
+@query("select distinct recording_id, floor((ts + 1e-9) / (1e0 / 2e0))::bigint as bucket from frames")
+def stream_first_frames(spark, d):
+    """Steps of which a first frame came; which one it is depends on the order of arrival."""
+    got = _streamed(spark, X.frame_tiles(spark, d).select("recording_id", "ts"), "ts", lambda s: stateful.first_frames(s, 2.0))
+    return got.select("recording_id", "bucket")
