@@ -130,6 +130,11 @@ def bootstrap(p: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> Dat
     return bits.mapInPandas(work, "low double, high double")
 
 
+def bootstrap_of(p: DataFrame) -> DataFrame:
+    """One row: low, high, by the fixed stream for FEW samples at most, and by Poisson weights, which are summed where samples are, beyond."""
+    return bootstrap(p) if p.count() <= FEW else bootstrap_poisson(p)
+
+
 def interval(p: DataFrame, total: int) -> tuple[float, float, str]:
     """Low and high of the hit rate's 95 % interval, and how it was found."""
     how, made = ("fixed stream", bootstrap) if total <= FEW else ("poisson weights", bootstrap_poisson)

@@ -404,7 +404,7 @@ def eval_dense(spark, d):
 
 @query()
 def eval_bootstrap(spark, d):
-    return evaluation.bootstrap(_predictions(spark, d))
+    return evaluation.bootstrap_of(_predictions(spark, d))
 
 
 @query("select recording_id, ts, bucket from (select recording_id, ts, floor((ts + 1e-9) / (1e0 / 2e0))::bigint as bucket, row_number() over (partition by recording_id, floor((ts + 1e-9) / (1e0 / 2e0)) order by ts) as n from frames) where n = 1")
