@@ -33,7 +33,11 @@ class MeshFaces:
             pose = (np.arctan2(f[0], f[2]), np.arctan2(-f[1], np.hypot(f[0], f[2])), np.arctan2(-u[0], u[1]))
         shapes = {c.category_name: float(c.score) for c in (got.face_blendshapes[0] if got.face_blendshapes else [])}
         known = [d.score for d in getattr(got, "face_detections", None) or [] if getattr(d, "score", None) is not None]
-        return {"lm": [float(v) for q in got.face_landmarks[0] for v in (q.x, q.y, q.z)], "head_pose": dict(zip(("yaw", "pitch", "roll"), map(float, pose))), "jaw": shapes.get("jawOpen"), "detection": float(max(known, default=1.0))}
+        return {
+            "lm": [float(v) for q in got.face_landmarks[0] for v in (q.x, q.y, q.z)],
+            "head_pose": dict(zip(("yaw", "pitch", "roll"), map(float, pose))), "jaw": shapes.get("jawOpen"),
+            "detection": float(max(known, default=1.0)),
+        }
 
 
 class FivePointFaces:

@@ -57,4 +57,7 @@ def not_visible(layouts: DataFrame, events: DataFrame, directions: DataFrame, ow
     who = rows.select("recording_id", "layout_no", "start_time", "end_time", "source", F.explode(F.transform(participants(F.col("regions")), lambda r: r.participant_id)).alias("viewer_id"))
     seen = events.select(F.col("recording_id").alias("r"), F.col("viewer_id").alias("v"), F.col("start_time").alias("s"), F.col("end_time").alias("e"))
     gone = who.join(seen, (F.col("recording_id") == F.col("r")) & (F.col("viewer_id") == F.col("v")) & (F.col("e") > F.col("start_time")) & (F.col("s") < F.col("end_time")), "left_anti")
-    return gone.select("recording_id", "viewer_id", F.lit("not_visible").alias("target"), "start_time", "end_time", F.lit(1.0).alias("confidence"), (F.col("source") if own_source else F.lit("assumed_shared")).alias("layout_source"), F.lit("no usable observation").alias("reason"))
+    return gone.select(
+        "recording_id", "viewer_id", F.lit("not_visible").alias("target"), "start_time", "end_time", F.lit(1.0).alias("confidence"),
+        (F.col("source") if own_source else F.lit("assumed_shared")).alias("layout_source"), F.lit("no usable observation").alias("reason"),
+    )

@@ -89,7 +89,10 @@ def calibrations(labels: DataFrame, viewers: DataFrame, least: int = 20, segment
             except ValueError as e:
                 reason = str(e)
         edges = [[made.left, made.right, made.top, made.bottom] if made else [None] * 4][0]
-        return pd.DataFrame([[*key, made is not None, n, reason, *edges]], columns=["recording_id", "viewer_id", "calibrated", "labels", "reason", "left", "right", "top", "bottom"]).astype({k: float for k in ("left", "right", "top", "bottom")})
+        return pd.DataFrame(
+            [[*key, made is not None, n, reason, *edges]],
+            columns=["recording_id", "viewer_id", "calibrated", "labels", "reason", "left", "right", "top", "bottom"],
+        ).astype({k: float for k in ("left", "right", "top", "bottom")})
 
     return rows.groupBy("recording_id", "viewer_id").applyInPandas(work, schema)
 
@@ -97,14 +100,17 @@ def calibrations(labels: DataFrame, viewers: DataFrame, least: int = 20, segment
 def least_squares(labels: DataFrame) -> DataFrame:
     """The plain fit of each viewer's labels, in SQL aggregates alone."""
     return labels.groupBy("recording_id", "viewer_id").agg(
-        F.count("*").alias("labels"), F.regr_slope("x", "yaw").alias("x_slope"), F.regr_intercept("x", "yaw").alias("x_intercept"), F.regr_slope("y", "pitch").alias("y_slope"), F.regr_intercept("y", "pitch").alias("y_intercept")
+        F.count("*").alias("labels"), F.regr_slope("x", "yaw").alias("x_slope"), F.regr_intercept("x", "yaw").alias("x_intercept"),
+        F.regr_slope("y", "pitch").alias("y_slope"), F.regr_intercept("y", "pitch").alias("y_intercept")
     )
 
 
 def project_calibrated(directions: DataFrame, fits: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """Projection with each viewer's own edges where there are some."""
     own = fits.filter("calibrated").select("recording_id", F.col("viewer_id").alias("person_id"), "left", "right", "top", "bottom")
-    d = directions.join(own, ["recording_id", "person_id"], "left").withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in (("left", screen.left), ("right", screen.right), ("top", screen.top), ("bottom", screen.bottom))})
+    d = directions.join(own, ["recording_id", "person_id"], "left").withColumns(
+        {k: F.coalesce(F.col(k), F.lit(v)) for k, v in (("left", screen.left), ("right", screen.right), ("top", screen.top), ("bottom", screen.bottom))}
+    )
     d = d.withColumns({"_x": (F.col("yaw") - F.col("left")) / (F.col("right") - F.col("left")), "_y": (F.col("top") - F.col("pitch")) / (F.col("top") - F.col("bottom"))})
     d = d.withColumn("off_screen", G.off_screen(F.col("_x"), F.col("_y"), screen.margin)).withColumns({"x": G.clamp(F.col("_x"), 0.0, 1.0), "y": G.clamp(F.col("_y"), 0.0, 1.0)})
     return d.drop("_x", "_y", "left", "right", "top", "bottom")

@@ -27,9 +27,15 @@ def rules(name: str) -> dict[str, Column]:
     if name == "gaze_points":
         return {"ts": time("ts"), "x": unit(c("x")), "y": unit(c("y")), "confidence": unit(c("confidence"))}
     if name == "layouts":
-        return {"start_time": time("start_time"), "end_time": c("end_time").isNull() | (c("end_time") > c("start_time")), "source": c("source").isin(*LAYOUT_SOURCES), "regions": F.forall("regions", _region)}
+        return {
+            "start_time": time("start_time"), "end_time": c("end_time").isNull() | (c("end_time") > c("start_time")),
+            "source": c("source").isin(*LAYOUT_SOURCES), "regions": F.forall("regions", _region),
+        }
     if name in ("gaze_events", "attributions"):
-        return {"start_time": time("start_time"), "end_time": finite(c("end_time")) & (c("end_time") >= c("start_time")), "confidence": unit(c("confidence")), "target": c("target").isNotNull() & (c("target") != "")}
+        return {
+            "start_time": time("start_time"), "end_time": finite(c("end_time")) & (c("end_time") >= c("start_time")),
+            "confidence": unit(c("confidence")), "target": c("target").isNotNull() & (c("target") != ""),
+        }
     if name in ("speaker_segments", "truth"):
         return {"start_time": time("start_time"), "end_time": finite(c("end_time")) & (c("end_time") > c("start_time"))}
     raise KeyError(name)

@@ -22,7 +22,10 @@ def matrix(events: DataFrame) -> DataFrame:
 def summary(events: DataFrame) -> DataFrame:
     """Each viewer's events, and a map of seconds by target."""
     m = matrix(events)
-    return m.groupBy("recording_id", "viewer_id").agg(F.sum("events").alias("events"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", F.round("seconds", 3))))).alias("duration_by_target"))
+    return m.groupBy("recording_id", "viewer_id").agg(
+        F.sum("events").alias("events"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", F.round("seconds", 3))))).alias("duration_by_target"),
+    )
 
 
 def by_target(events: DataFrame) -> DataFrame:
@@ -38,7 +41,10 @@ def shares(events: DataFrame, support: DataFrame | None = None) -> DataFrame:
 
     support: recording_id, participants - how many there were to look at, which scales the entropy.
     """
-    t = events.groupBy("recording_id", "target").agg(F.sum(_dur()).alias("d"), F.min("event_no").alias("first"), F.sum(F.when(F.col("target") == F.col("viewer_id"), _dur()).otherwise(0.0)).alias("self"))
+    t = events.groupBy("recording_id", "target").agg(
+        F.sum(_dur()).alias("d"), F.min("event_no").alias("first"),
+        F.sum(F.when(F.col("target") == F.col("viewer_id"), _dur()).otherwise(0.0)).alias("self"),
+    )
     named = ~F.col("target").isin(*SENTINELS)
     base = t.groupBy("recording_id").agg(
         F.sum("d").alias("all"), F.sum("self").alias("self"), F.sum(F.when(~named, F.col("d")).otherwise(0.0)).alias("unresolved"), F.sum(F.when(named, F.col("d")).otherwise(0.0)).alias("named"),

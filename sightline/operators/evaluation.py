@@ -54,10 +54,17 @@ def scores(p: DataFrame) -> DataFrame:
     """One row of counts and rates."""
     said, off = F.col("predicted"), F.col("target") == "off_screen"
     out = p.agg(
-        F.count("*").alias("total"), _n(F.col("hit")).alias("hits"), _n(said.isNull() | said.isin(*DECLINING)).alias("unknown"), _n(said.isNull()).alias("silent"), _n(said == "unknown").alias("explicit_unknown"),
-        _n(said == "low_confidence").alias("low_confidence"), _n(said == "not_visible").alias("not_visible"), _n(F.col("answered") & ~F.col("hit")).alias("wrong"), _n(off).alias("off_total"), _n(off & F.col("hit")).alias("off_hits"),
+        F.count("*").alias("total"), _n(F.col("hit")).alias("hits"), _n(said.isNull() | said.isin(*DECLINING)).alias("unknown"),
+        _n(said.isNull()).alias("silent"), _n(said == "unknown").alias("explicit_unknown"),
+        _n(said == "low_confidence").alias("low_confidence"), _n(said == "not_visible").alias("not_visible"),
+        _n(F.col("answered") & ~F.col("hit")).alias("wrong"), _n(off).alias("off_total"), _n(off & F.col("hit")).alias("off_hits"),
     )
-    return out.withColumns({"hit_rate": ratio(F.col("hits"), F.col("total")), "unknown_rate": ratio(F.col("unknown"), F.col("total")), "off_screen_recall": ratio(F.col("off_hits"), F.col("off_total"))})
+    return out.withColumns(
+        {
+            "hit_rate": ratio(F.col("hits"), F.col("total")), "unknown_rate": ratio(F.col("unknown"), F.col("total")),
+            "off_screen_recall": ratio(F.col("off_hits"), F.col("off_total")),
+        }
+    )
 
 
 def per_grid(p: DataFrame) -> DataFrame:
@@ -86,7 +93,9 @@ def baselines(p: DataFrame, candidates: int | None = None) -> DataFrame:
     c = F.lit(candidates) if candidates is not None else F.col("targets")
     # one row each
     one = truth.join(named).filter("total > 0")
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), v.cast("double").alias("score")) for k, v in (("always_unknown", F.lit(0.0)), ("uniform_random", F.when(c > 0, 1.0 / c).otherwise(0.0)), ("majority_truth", F.col("most") / F.col("total")), ("model_modal_target", F.col("modal") / F.col("total")))])
+    rows = F.array(
+        *[F.struct(F.lit(k).alias("strategy"), v.cast("double").alias("score")) for k, v in (("always_unknown", F.lit(0.0)), ("uniform_random", F.when(c > 0, 1.0 / c).otherwise(0.0)), ("majority_truth", F.col("most") / F.col("total")), ("model_modal_target", F.col("modal") / F.col("total")))]
+    )
     return one.select(F.inline(rows))
 
 
@@ -151,5 +160,7 @@ def bootstrap_poisson(p: DataFrame, resamples: int = 200, seed: int = SEED) -> D
         edges.append(total)
         term /= k + 1
     weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    rates = p.select("recording_id", "truth_no", "k", "hit", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("hit").cast("int")) / F.sum("w")).alias("rate"))
+    rates = p.select(
+        "recording_id", "truth_no", "k", "hit", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"),
+    ).withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("hit").cast("int")) / F.sum("w")).alias("rate"))
     return rates.agg(F.percentile("rate", 0.025).alias("low"), F.percentile("rate", 0.975).alias("high"))

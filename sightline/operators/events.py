@@ -26,7 +26,9 @@ def gaze_events(attributions: DataFrame, least: float = 0.2, gap: float = 0.3) -
     by = ["recording_id", "viewer_id"]
     rows = islands(attributions, by, "target", gap, ["end_time", "reason", "confidence", "target"]).withColumn("_w", _weight())
     reasons = rows.groupBy(*by, "island", "reason").agg(
-        F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("confidence")).alias("wc"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.first("target").alias("target"), F.min("_pos").alias("pos"), F.min_by("layout_source", "_pos").alias("layout_source")
+        F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("confidence")).alias("wc"), F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"), F.first("target").alias("target"), F.min("_pos").alias("pos"),
+        F.min_by("layout_source", "_pos").alias("layout_source")
     )
     merged = reasons.groupBy(*by, "island").agg(
         F.first("target").alias("target"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), (F.sum("wc") / F.sum("w")).alias("confidence"),
@@ -38,7 +40,10 @@ def gaze_events(attributions: DataFrame, least: float = 0.2, gap: float = 0.3) -
 def speaker_segments(flags: DataFrame, cue: str = "highlight", least: float = 0.4, gap: float = 0.5) -> DataFrame:
     """Moments at which a participant seemed to speak, merged; segment_no orders a recording's segments."""
     rows = islands(flags, ["recording_id"], "participant_id", gap, ["end_time", "participant_id", "confidence"]).withColumn("_w", _weight())
-    merged = rows.groupBy("recording_id", "island").agg(F.first("participant_id").alias("participant_id"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), (F.sum(F.col("_w") * F.col("confidence")) / F.sum("_w")).alias("confidence"))
+    merged = rows.groupBy("recording_id", "island").agg(
+        F.first("participant_id").alias("participant_id"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        (F.sum(F.col("_w") * F.col("confidence")) / F.sum("_w")).alias("confidence"),
+    )
     w = Window.partitionBy("recording_id").orderBy("island")
     kept = merged.filter(F.col("end_time") - F.col("start_time") >= least)
     return kept.withColumn("segment_no", F.row_number().over(w).cast("long")).withColumn("cue", F.lit(cue)).drop("island")

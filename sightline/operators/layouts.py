@@ -50,7 +50,10 @@ def build_layout(tiles: Column, ids: Column) -> Column:
 
 
 def named_layouts(intervals: DataFrame, viewer: str = "recording", source: str = "recording", ids: str = "ids") -> DataFrame:
-    return intervals.select("recording_id", F.lit(viewer).alias("viewer_id"), F.col("interval_no").alias("layout_no"), "start_time", "end_time", F.lit(source).alias("source"), build_layout(F.col("tiles"), F.col(ids)).alias("regions"))
+    return intervals.select(
+        "recording_id", F.lit(viewer).alias("viewer_id"), F.col("interval_no").alias("layout_no"), "start_time", "end_time",
+        F.lit(source).alias("source"), build_layout(F.col("tiles"), F.col(ids)).alias("regions"),
+    )
 
 
 def _iou(a: dict, b: dict) -> float:
@@ -86,7 +89,12 @@ def build_layouts(intervals: DataFrame, viewer: str = "recording", source: str =
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("interval_no", ignore_index=True)
         regions = carry_identities([[dict(t) for t in tiles] for tiles in pdf["tiles"]], continuity)
-        return pd.DataFrame({"recording_id": pdf["recording_id"], "viewer_id": viewer, "layout_no": pdf["interval_no"], "start_time": pdf["start_time"], "end_time": pdf["end_time"], "source": source, "regions": regions})
+        return pd.DataFrame(
+            {
+                "recording_id": pdf["recording_id"], "viewer_id": viewer, "layout_no": pdf["interval_no"], "start_time": pdf["start_time"],
+                "end_time": pdf["end_time"], "source": source, "regions": regions,
+            }
+        )
 
     made = intervals.groupBy("recording_id").applyInPandas(work, TABLES["layouts"])
     return made.withColumn("end_time", F.when(~F.isnan("end_time"), F.col("end_time")))
@@ -101,7 +109,10 @@ def identity_breaks(layouts: DataFrame) -> DataFrame:
     w = Window.partitionBy("recording_id", "viewer_id").orderBy("layout_no")
     ids = F.array_distinct(F.transform(participants(F.col("regions")), lambda r: r.participant_id))
     pairs = layouts.withColumn("now", ids).withColumn("was", F.lag("now").over(w)).filter("was is not null")
-    sets = pairs.select("recording_id", "viewer_id", F.col("start_time").alias("at_time"), *[F.array_sort(x).alias(k) for k, x in (("carried", F.array_intersect("was", "now")), ("introduced", F.array_except("now", "was")), ("ended", F.array_except("was", "now")))])
+    sets = pairs.select(
+        "recording_id", "viewer_id", F.col("start_time").alias("at_time"),
+        *[F.array_sort(x).alias(k) for k, x in (("carried", F.array_intersect("was", "now")), ("introduced", F.array_except("now", "was")), ("ended", F.array_except("was", "now")))],
+    )
     return sets.filter((F.size("introduced") > 0) | (F.size("ended") > 0)).withColumn("total", F.size("carried") == 0)
 
 

@@ -28,7 +28,9 @@ def sample_frames(frames: DataFrame, fps: float = 5.0) -> DataFrame:
 def project(directions: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """Screen points of directions, with off_screen; those on the screen are clamped to it."""
     x, y = G.screen_x(F.col("yaw"), screen), G.screen_y(F.col("pitch"), screen)
-    return directions.withColumns({"_x": x, "_y": y}).withColumn("off_screen", G.off_screen(F.col("_x"), F.col("_y"), screen.margin)).withColumns({"x": G.clamp(F.col("_x"), 0.0, 1.0), "y": G.clamp(F.col("_y"), 0.0, 1.0)}).drop("_x", "_y")
+    return directions.withColumns({"_x": x, "_y": y}).withColumn("off_screen", G.off_screen(F.col("_x"), F.col("_y"), screen.margin)).withColumns(
+        {"x": G.clamp(F.col("_x"), 0.0, 1.0), "y": G.clamp(F.col("_y"), 0.0, 1.0)}
+    ).drop("_x", "_y")
 
 
 def median_smooth(points: DataFrame, window: int = 3) -> DataFrame:

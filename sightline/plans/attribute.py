@@ -56,7 +56,10 @@ class Outcome:
                 df.unpersist()
 
 
-def attribute(directions: DataFrame, recorded: DataFrame, config: Config = Config(), manifest: DataFrame | None = None, segments: DataFrame | None = None, calibrate: bool = False, faces: DataFrame | None = None) -> Outcome:
+def attribute(
+    directions: DataFrame, recorded: DataFrame, config: Config = Config(), manifest: DataFrame | None = None, segments: DataFrame | None = None,
+    calibrate: bool = False, faces: DataFrame | None = None,
+) -> Outcome:
     """Directions and layouts to events.
 
     manifest: viewers' own layouts; without it the recorded ones are assumed to be shared by all. calibrate: fit each viewer's mapping
@@ -107,4 +110,7 @@ def speaker_flags(tiles: DataFrame, recorded: DataFrame, fps: float = 5.0) -> Da
     rows = tiles.filter("highlight is not null").join(layouts.in_order(recorded, ["recording_id"]), "recording_id")
     people = layouts.participants(layouts.active(F.col("layouts"), F.col("ts")).regions)
     who = F.get(people, F.col("highlight"))["participant_id"]
-    return rows.select("recording_id", F.col("ts").alias("start_time"), (F.col("ts") + 1.0 / fps).alias("end_time"), who.alias("participant_id"), F.lit(1.0).alias("confidence")).filter("participant_id is not null")
+    return rows.select(
+        "recording_id", F.col("ts").alias("start_time"), (F.col("ts") + 1.0 / fps).alias("end_time"), who.alias("participant_id"),
+        F.lit(1.0).alias("confidence"),
+    ).filter("participant_id is not null")

@@ -253,7 +253,10 @@ def coverage_funnel(spark, d):
 def coverage_totals(spark, d):
     o = _outcome(spark, d)
     t = coverage.totals(o.per_participant(), o.layouts)
-    return t.select("recording_id", "directions", "points", "off_screen", "events", "not_visible", F.col("layouts").cast("int").alias("layouts"), F.col("participants_detected").cast("int").alias("participants_detected"), r6("off_screen_rate"), r6("face_hit_rate"))
+    return t.select(
+        "recording_id", "directions", "points", "off_screen", "events", "not_visible", F.col("layouts").cast("int").alias("layouts"),
+        F.col("participants_detected").cast("int").alias("participants_detected"), r6("off_screen_rate"), r6("face_hit_rate"),
+    )
 
 
 @query("select i.recording_id, i.interval_no::int as interval_no, round(i.start_time, 6) as start_time, round(i.end_time, 6) as end_time, (select count(*) from tiles t where t.recording_id = i.recording_id and t.k = i.k)::int as n_tiles from intervals i")
@@ -467,7 +470,10 @@ _FIELDS = "select recording_id % 2 as side, 'recording_' || (recording_id // 2)
 def run_compare(spark, d):
     """Recordings of even and of odd number as two runs."""
     c = X.directions(spark, d).groupBy("recording_id", "person_id").agg(F.count("*").cast("string").alias("value"))
-    f = c.select((F.col("recording_id") % 2).alias("side"), F.concat(F.lit("recording_"), F.floor(F.col("recording_id") / 2).cast("string")).alias("grp"), F.concat(F.lit("directions."), "person_id").alias("field"), "value")
+    f = c.select(
+        (F.col("recording_id") % 2).alias("side"), F.concat(F.lit("recording_"), F.floor(F.col("recording_id") / 2).cast("string")).alias("grp"),
+        F.concat(F.lit("directions."), "person_id").alias("field"), "value",
+    )
     return comparison.run_diff(f.filter("side = 0"), f.filter("side = 1"), ("grp", "field"))
 
 

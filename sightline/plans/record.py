@@ -64,7 +64,10 @@ def provenance(config: Config, video: dict | None = None, adapters: list[dict] |
         commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=5).stdout.strip() or None
     except OSError:
         commit = None
-    return {"created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "git_commit": commit, "config_hash": config_hash(config), "overrides": overrides(config), "video": video, "adapters": adapters or []}
+    return {
+        "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "git_commit": commit, "config_hash": config_hash(config),
+        "overrides": overrides(config), "video": video, "adapters": adapters or [],
+    }
 
 
 def _one(df: DataFrame, recording_id: int) -> list[dict]:
@@ -96,7 +99,11 @@ def _record(out: Outcome, recording_id: int, config: Config, truth: DataFrame |
         v = viewers.setdefault(r["viewer_id"], {"events": 0, "duration_by_target": {}})
         v["events"] += r["events"]
         v["duration_by_target"][r["target"]] = round(r["seconds"], 3)
-    breaks = [{k: v for k, v in r.items() if k not in ("recording_id", "viewer_id")} for r in _one(layouts.identity_breaks(out.layouts.filter(F.col("viewer_id") == F.lit(min(viewers, default="")))), recording_id)]
+    breaks = [
+        {k: v for k, v in r.items() if k not in ("recording_id", "viewer_id")} for r in _one(
+            layouts.identity_breaks(out.layouts.filter(F.col("viewer_id") == F.lit(min(viewers, default="")))), recording_id,
+        )
+    ]
     scored = None
     if truth is not None:
         scored = evaluation_summary(evaluation.predictions(truth.filter(F.col("recording_id") == recording_id), out.events, step))
@@ -175,7 +182,10 @@ def render_markdown(record: dict) -> str:
     kind, why = verdict(record)
     lines = ["# Gaze report", "", "All results are estimates.", "", f"**{kind}**: {why}", "", "## Limits", "", *(f"- {x}" for x in limitations(record)), "", "## Degradations", ""]
     lines += [f"- `{x['code']}` ({x['stage']}): {x['detail']}; {x['impact']}" for x in record.get("degradations") or []] or ["none"]
-    lines += ["", "## Coverage", "", "| step | count |", "| --- | --- |", *(f"| {k} | {c.get(k, 0)} |" for k in STEPS), "", "## Participants", "", "| participant | outcome | directions | events |", "| --- | --- | --- | --- |"]
+    lines += [
+        "", "## Coverage", "", "| step | count |", "| --- | --- |", *(f"| {k} | {c.get(k, 0)} |" for k in STEPS), "", "## Participants", "",
+        "| participant | outcome | directions | events |", "| --- | --- | --- | --- |"
+    ]
     lines += [f"| {p['participant_id']} | {outcome(p)} | {p['directions']} | {p['events']} |" for p in c.get("per_participant", [])]
     lines += ["", "## Who looked at whom", "", "| viewer | target | seconds |", "| --- | --- | --- |"]
     lines += [f"| {v} | {t} | {s:.3f} |" for v, x in record["results"]["viewers"].items() for t, s in sorted(x["duration_by_target"].items())]
@@ -199,7 +209,9 @@ def timeline(events: list[dict]) -> str:
     end = max((e["end_time"] for e in events), default=0.0)
     rows = []
     for v in sorted({e["viewer_id"] for e in events}):
-        bars = "".join(f'<i title="{html.escape(e["target"])}" style="left:{100 * e["start_time"] / end:.2f}%;width:{100 * (e["end_time"] - e["start_time"]) / end:.2f}%"></i>' for e in events if e["viewer_id"] == v) if end else ""
+        bars = "".join(
+            f'<i title="{html.escape(e["target"])}" style="left:{100 * e["start_time"] / end:.2f}%;width:{100 * (e["end_time"] - e["start_time"]) / end:.2f}%"></i>' for e in events if e["viewer_id"] == v
+        ) if end else ""
         rows.append(f"<tr><th>{html.escape(v)}</th><td><div>{bars}</div></td></tr>")
     return "<table class=t>" + "".join(rows) + "</table>"
 

@@ -120,7 +120,10 @@ def frame_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = t.groupBy("recording_id", "k").agg(F.array_sort(F.collect_list(tile)).alias("ts_"))
     frames = spark.sql("select cast(r.id as bigint) as recording_id, cast(k.id as bigint) as k, k.id / 5e0 as ts from range(10) r cross join range(100) k")
     parts = F.transform("ts_", lambda x: F.struct(x.kind.alias("kind"), x.x.alias("x"), x.y.alias("y"), x.width.alias("width"), x.height.alias("height")))
-    return frames.join(made, ["recording_id", "k"], "left").select("recording_id", "ts", F.coalesce(parts, F.array().cast("array<struct<kind:string,x:double,y:double,width:double,height:double>>")).alias("tiles"))
+    return frames.join(made, ["recording_id", "k"], "left").select(
+        "recording_id", "ts",
+        F.coalesce(parts, F.array().cast("array<struct<kind:string,x:double,y:double,width:double,height:double>>")).alias("tiles"),
+    )
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,10 +68,14 @@ def read_truth(spark: SparkSession, path: str, recording_id: int | None = 0) ->
 
 def read_manifest(spark: SparkSession, path: str, recording_id: int = 0) -> DataFrame:
     """Layouts of each viewer, in the document's order, tagged manifest."""
-    doc = spark.read.schema(f"viewers map<string, array<struct<start:double, end:double, start_time:double, end_time:double, regions:array<{REGION}>>>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    doc = spark.read.schema(
+        f"viewers map<string, array<struct<start:double, end:double, start_time:double, end_time:double, regions:array<{REGION}>>>>"
+    ).option("multiLine", True).option("mode", "FAILFAST").json(path)
     rows = doc.select(F.explode("viewers").alias("viewer_id", "ls")).select("viewer_id", F.posexplode("ls").alias("layout_no", "l"))
     return rows.select(
-        F.lit(recording_id).cast("long").alias("recording_id"), "viewer_id", "layout_no", F.coalesce("l.start_time", "l.start", F.lit(0.0)).alias("start_time"), F.coalesce("l.end_time", "l.end").alias("end_time"), F.lit("manifest").alias("source"), "l.regions"
+        F.lit(recording_id).cast("long").alias("recording_id"), "viewer_id", "layout_no",
+        F.coalesce("l.start_time", "l.start", F.lit(0.0)).alias("start_time"), F.coalesce("l.end_time", "l.end").alias("end_time"),
+        F.lit("manifest").alias("source"), "l.regions"
     )
 
 

@@ -54,7 +54,12 @@ def append_gaze(df: DataFrame, path: str) -> None:
 
 def manifest_document(layouts: DataFrame) -> DataFrame:
     """One row, value: the manifest of all viewers' layouts as JSON."""
-    per = layouts.groupBy("viewer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("layout_no", "start_time", "end_time", "regions"))), lambda l: F.struct(l.start_time.alias("start_time"), l.end_time.alias("end_time"), l.regions.alias("regions"))).alias("ls"))
+    per = layouts.groupBy("viewer_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("layout_no", "start_time", "end_time", "regions"))),
+            lambda l: F.struct(l.start_time.alias("start_time"), l.end_time.alias("end_time"), l.regions.alias("regions")),
+        ).alias("ls")
+    )
     doc = per.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("viewer_id", "ls")))).alias("viewers"))
     return doc.select(F.to_json(F.struct("viewers"), {"ignoreNullFields": "false"}).alias("value"))
 
@@ -67,7 +72,8 @@ def event_rows(events: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> Dat
     """The seven columns of the CSV, numbers as text with three decimals, after the columns in keep."""
     three = lambda c: F.format_string("%.3f", c)
     return events.orderBy(*keep, "viewer_id", "start_time").select(
-        *keep, F.col("viewer_id").alias("viewer"), "target", three(F.col("start_time")).alias("start"), three(F.col("end_time")).alias("end"), three(F.col("end_time") - F.col("start_time")).alias("duration"), three(F.col("confidence")).alias("confidence"), "reason"
+        *keep, F.col("viewer_id").alias("viewer"), "target", three(F.col("start_time")).alias("start"), three(F.col("end_time")).alias("end"),
+        three(F.col("end_time") - F.col("start_time")).alias("duration"), three(F.col("confidence")).alias("confidence"), "reason"
     )
 
 

@@ -77,4 +77,7 @@ def probe_video(spark: SparkSession, path: str) -> dict:
         return info | {"duration": None, "width": None, "height": None, "fps": None}
     video = cv2.VideoCapture(path)
     fps = video.get(cv2.CAP_PROP_FPS)
-    return info | {"duration": round(video.get(cv2.CAP_PROP_FRAME_COUNT) / fps, 3) if fps > 0 else None, "width": int(video.get(cv2.CAP_PROP_FRAME_WIDTH)), "height": int(video.get(cv2.CAP_PROP_FRAME_HEIGHT)), "fps": fps}
+    return info | {
+        "duration": round(video.get(cv2.CAP_PROP_FRAME_COUNT) / fps, 3) if fps > 0 else None, "width": int(video.get(cv2.CAP_PROP_FRAME_WIDTH)),
+        "height": int(video.get(cv2.CAP_PROP_FRAME_HEIGHT)), "fps": fps,
+    }

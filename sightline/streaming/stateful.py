@@ -68,7 +68,10 @@ def fixations(points: DataFrame, config: Config = Config()) -> DataFrame:
 
     def rows(key: tuple, ts, x, y, c, spans) -> pd.DataFrame:
         mean = lambda v, a, b: float(v[a : b + 1].sum() / (b + 1 - a))
-        return pd.DataFrame([[*key, mean(x, a, b), mean(y, a, b), ts[a], ts[b], mean(c, a, b), float(np.ptp(x[a : b + 1]) + np.ptp(y[a : b + 1]))] for a, b in spans], columns=[f.split()[0] for f in FIXATION.split(", ")])
+        return pd.DataFrame(
+            [[*key, mean(x, a, b), mean(y, a, b), ts[a], ts[b], mean(c, a, b), float(np.ptp(x[a : b + 1]) + np.ptp(y[a : b + 1]))] for a, b in spans],
+            columns=[f.split()[0] for f in FIXATION.split(", ")],
+        )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, before = ([np.array(v) for v in state.get[:4]], bool(state.get[4])) if state.exists else ([np.zeros(0)] * 4, False)
@@ -136,7 +139,10 @@ def gaze_events(attributions: DataFrame, config: Config = Config()) -> DataFrame
             yield pd.DataFrame(out, columns=cols)
 
     group = attributions.groupBy("recording_id", "viewer_id")
-    return group.applyInPandasWithState(step, EVENT, "target string, start double, end double, w double, wc double, source string, reasons array<string>, weights array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return group.applyInPandasWithState(
+        step, EVENT, "target string, start double, end double, w double, wc double, source string, reasons array<string>, weights array<double>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def layouts(frames: DataFrame, min_stable: float = 0.5, silence: float = 5.0) -> DataFrame:
