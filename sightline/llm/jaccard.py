@@ -113,12 +113,24 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
             s = slice(cut[p], cut[p + 1])
             yield row(1, size=int(p), tok=tok[s].tobytes(), fp=fp[s].tobytes(), met=np.packbits(several[s]).tobytes())
         if len(mine):
-            yield pa.record_batch([pa.array(np.full(len(mine), 2, np.int32)), pa.nulls(len(mine), pa.int64()), pa.nulls(len(mine), pa.int64()), pa.array(mine), *(pa.nulls(len(mine), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary())), pa.nulls(len(mine), pa.int64())], names=names)
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(len(mine), 2, np.int32)), pa.nulls(len(mine), pa.int64()), pa.nulls(len(mine), pa.int64()), pa.array(mine),
+                    *(pa.nulls(len(mine), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary())), pa.nulls(len(mine), pa.int64())
+                ],
+                names=names,
+            )
 
     names = ["kind", "id", "size", "f1", "f2", "tok", "fp", "met", "h"]
 
     def row(kind: int, size: int, tok: bytes, fp: bytes, met: bytes) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([kind], pa.int32()), pa.nulls(1, pa.int64()), pa.array([size], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tok], pa.binary()), pa.array([fp], pa.binary()), pa.array([met], pa.binary()), pa.nulls(1, pa.int64())], names=names)
+        return pa.record_batch(
+            [
+                pa.array([kind], pa.int32()), pa.nulls(1, pa.int64()), pa.array([size], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                pa.array([tok], pa.binary()), pa.array([fp], pa.binary()), pa.array([met], pa.binary()), pa.nulls(1, pa.int64())
+            ],
+            names=names,
+        )
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks, fps, held = [], [], 0
@@ -126,7 +138,13 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, parts:
             flat, starts = shingle_sets(b.column(1), n)
             f1, f2 = fingerprints(flat, starts)
             m = b.num_rows
-            yield pa.record_batch([pa.array(np.zeros(m, np.int32)), b.column(0), pa.array(np.diff(starts)), pa.array(f1), pa.array(f2), *(pa.nulls(m, pa.binary()) for _ in range(3)), b.column(2)], names=names)
+            yield pa.record_batch(
+                [
+                    pa.array(np.zeros(m, np.int32)), b.column(0), pa.array(np.diff(starts)), pa.array(f1), pa.array(f2),
+                    *(pa.nulls(m, pa.binary()) for _ in range(3)), b.column(2)
+                ],
+                names=names,
+            )
             at, owner = _first(flat, starts, percent)
             toks.append(flat[at])
             fps.append(f1[owner])
@@ -185,7 +203,12 @@ def _block_sets(sets: DataFrame, n: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             i, s, t = np.concatenate(ids), np.concatenate(sizes), np.concatenate(toks)
-            return pa.record_batch({"block": pa.array([new_name()], pa.int64()), "ids": pa.array([i.tobytes()], pa.binary()), "sizes": pa.array([s.tobytes()], pa.binary()), "tokens": pa.array([packed_sets(t, s)], pa.binary())})
+            return pa.record_batch(
+                {
+                    "block": pa.array([new_name()], pa.int64()), "ids": pa.array([i.tobytes()], pa.binary()),
+                    "sizes": pa.array([s.tobytes()], pa.binary()), "tokens": pa.array([packed_sets(t, s)], pa.binary()),
+                }
+            )
 
         for b in sliced(batches, "text"):
             flat, starts = shingle_sets(b.column(2), n)
@@ -269,7 +292,9 @@ def _candidates(blocks: DataFrame, counts: DataFrame, percent: int) -> DataFrame
         kinds = {"id": pa.int64(), "size": pa.int64(), "set": pa.binary(), "first": pa.list_(pa.int64()), "signs": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
-    return blocks.groupBy("block").cogroup(counts.filter("block is not null").select("block", "part", "total").groupBy("block")).applyInArrow(work, "id long, size long, set binary, first array<long>, signs array<long>")
+    return blocks.groupBy("block").cogroup(
+        counts.filter("block is not null").select("block", "part", "total").groupBy("block")
+    ).applyInArrow(work, "id long, size long, set binary, first array<long>, signs array<long>")
 
 
 def search(sizes: np.ndarray, sets: list[np.ndarray], percent: int, root: np.ndarray | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -410,7 +435,12 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     rough = _grouped(several.select("id"), signs)
     keep.drop(signs)
     grouped = keep.table(sets.select("id", "size").join(rough, "id"), total)
-    sized = keep.table(grouped.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select("grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), total)
+    sized = keep.table(
+        grouped.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("size").alias("all")).filter("docs > 1").select(
+            "grp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+        ),
+        total,
+    )
     names = grouped.join(sized, "grp").select("id", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("p"))
     dealt = keep.table(sets.select("id", "size", "set").join(names, "id"))
     keep.drop(sets, grouped)
@@ -433,7 +463,9 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         if not minor.isEmpty():
             # sets outside the largest component, in blocks q, against all blocks p
             qs = minor.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("qs"))
-            ask = minor.join(qs, "grp").withColumn("q", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("qs")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1).cast("long")).drop("qs")
+            ask = minor.join(qs, "grp").withColumn(
+                "q", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("qs")).cast("int"),
+            ).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1).cast("long")).drop("qs")
             index = root.join(qs, "grp").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("role", F.lit(0).cast("long")).drop("qs")
             links = keep.table(links.unionByName(_links(ask.unionByName(index), percent, known=True)))
     comp = components(links)

@@ -366,7 +366,10 @@ def _hot_tables(met: DataFrame, deal: Deal, one: Unigrams, keep: Scratch) -> tup
     whole = own.groupBy("v").agg(F.array(*[F.sum(F.get("x", F.lit(i))) for i in range(CUT + 2)]).alias("sums"))
     sums = own.select("part", "v").join(whole, "v")
     empty = F.lit(None)
-    side = totals.filter("block is not null").select(F.col("block").cast("int").alias("part"), F.col("part").alias("no"), "total", empty.cast("long").alias("v"), empty.cast("array<double>").alias("sums"))
+    side = totals.filter("block is not null").select(
+        F.col("block").cast("int").alias("part"), F.col("part").alias("no"), "total", empty.cast("long").alias("v"),
+        empty.cast("array<double>").alias("sums"),
+    )
     side = keep.table(side.unionByName(sums.select("part", empty.cast("int").alias("no"), empty.cast("binary").alias("total"), "v", "sums")))
     seen = np.zeros(CUT + 3)
     for row in totals.filter("block is null").select("total").toLocalIterator():  # 17 numbers for each part

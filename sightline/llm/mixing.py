@@ -47,7 +47,9 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) ->
     s = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * F.lit(most))
     up = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
-    s = s.withColumn("full", F.coalesce(F.sum("limit").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("open", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
+    s = s.withColumn(
+        "full", F.coalesce(F.sum("limit").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+    ).withColumn("open", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("mu", (F.sum("source_size").over(everything) - F.col("full")) / F.col("open"))
     # the first source, in that order, whose share stays below its limit sets the level
     s = s.withColumn("level", F.min(F.when(F.col("mu") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "mu"))).over(everything)["mu"])
@@ -63,7 +65,9 @@ def tilts(sizes: DataFrame, most: float = MOST) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key")
     sizes = keep.table(sizes.filter("size > 0").select(key, "size", "n", "target", "source_size"))
     state = sizes.groupBy("key").agg(
-        F.first("target").alias("target"), F.first("source_size").alias("total"), F.min("size").cast("double").alias("low_size"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done")
+        F.first("target").alias("target"), F.first("source_size").alias("total"), F.min("size").cast("double").alias("low_size"),
+        (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("lo"),
+        F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done")
     ).withColumn("hi", F.log(F.lit(most)) * F.col("scale") / F.col("low_size"))
     state = keep.table(state, 1)
     n = state.count()
@@ -77,10 +81,13 @@ def tilts(sizes: DataFrame, most: float = MOST) -> DataFrame:
         off = F.col("sum") - F.col("target")
         state2 = state.join(got, "key").select(
             "key", "target", "total", "low_size", "scale", F.col("tilt").alias("old"), (F.col("done") | (F.abs(off) <= CLOSE * F.col("target")) | (F.col("target") <= 0) | (F.col("target") >= F.col("total") * most * (1 - 1e-12))).alias("done"),
-            F.when(off < 0, F.col("tilt")).otherwise(F.col("lo")).alias("lo"), F.when(off > 0, F.col("tilt")).otherwise(F.col("hi")).alias("hi"), (F.col("tilt") - off / F.col("slope")).alias("newton"),
+            F.when(off < 0, F.col("tilt")).otherwise(F.col("lo")).alias("lo"), F.when(off > 0, F.col("tilt")).otherwise(F.col("hi")).alias("hi"),
+            (F.col("tilt") - off / F.col("slope")).alias("newton"),
         )
         inside = F.col("newton").isNotNull() & ~F.isnan("newton") & (F.col("lo").isNull() | (F.col("newton") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("newton") < F.col("hi")))
-        half = F.when(F.col("lo").isNull(), F.col("hi") - 2 * (F.abs(F.col("hi")) + 1)).when(F.col("hi").isNull(), F.col("lo") + 2 * (F.abs(F.col("lo")) + 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
+        half = F.when(F.col("lo").isNull(), F.col("hi") - 2 * (F.abs(F.col("hi")) + 1)).when(
+            F.col("hi").isNull(), F.col("lo") + 2 * (F.abs(F.col("lo")) + 1),
+        ).otherwise((F.col("lo") + F.col("hi")) / 2)
         new = keep.table(state2.withColumn("tilt", F.when(F.col("done"), F.col("old")).when(inside, F.col("newton")).otherwise(half)).drop("old", "newton"), n)
         keep.drop(state)
         state = new
@@ -113,10 +120,16 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     found = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["source"], "size", "n", "target", "source_size")
     tilt = tilts(found, most)
     groups = sizes.groupBy("source").agg(F.ceil(F.sum("n") / GROUP).alias("groups"))
-    known = goal.join(groups, goal["source"].eqNullSafe(groups["source"])).select(F.coalesce(F.concat(F.lit("s"), goal["source"]), F.lit("n")).alias("key"), "source_size", "target", "groups").join(tilt, "key", "left")
+    known = goal.join(groups, goal["source"].eqNullSafe(groups["source"])).select(
+        F.coalesce(F.concat(F.lit("s"), goal["source"]), F.lit("n")).alias("key"), "source_size", "target", "groups",
+    ).join(tilt, "key", "left")
     known = keep.table(known, goal.count())
-    rate = F.when(F.col("size") == 0, 0.0).when(F.col("target") >= F.col("source_size") * most * (1 - 1e-12), most).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(most), F.exp(F.col("tilt") * F.col("size") / F.col("scale"))))
-    rates = narrow.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source").join(known, "key").select("k1", "k2", "key", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("k1", "k2"), F.col("groups")).alias("g"))
+    rate = F.when(F.col("size") == 0, 0.0).when(
+        F.col("target") >= F.col("source_size") * most * (1 - 1e-12), most,
+    ).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(most), F.exp(F.col("tilt") * F.col("size") / F.col("scale"))))
+    rates = narrow.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source").join(known, "key").select(
+        "k1", "k2", "key", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("k1", "k2"), F.col("groups")).alias("g"),
+    )
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "k1", "k2"], kind="stable", ignore_index=True)
@@ -146,4 +159,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as many times as it has copies. Columns named like those of mix are left out."""
     made = mix(docs, **how)
-    return made.filter("__copies > 0").select(*(quoted(c) for c in without_results(docs.columns, RESULTS)), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copies")).drop("__copies")
+    return made.filter("__copies > 0").select(
+        *(quoted(c) for c in without_results(docs.columns, RESULTS)),
+        F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copies"),
+    ).drop("__copies")

@@ -272,7 +272,13 @@ def _giant_ids(giants: DataFrame, sent) -> DataFrame:
                 for no, (x, y) in enumerate(zip(at[:-1], at[1:])):
                     # so much around a chunk that the pieces at its cuts, and what decides them, are all there
                     lo, hi = max(0, x - m.longest - 1), min(len(s), y + m.longest + 1)
-                    yield pa.record_batch([pa.array([k1.as_py()], pa.int64()), pa.array([k2.as_py()], pa.int64()), pa.array([no], pa.int32()), pa.array([y == len(s)]), pa.array([s[lo:hi]]), pa.array([x - lo], pa.int32()), pa.array([hi - y], pa.int32())], names=["k1", "k2", "no", "last", "body", "before", "after"])
+                    yield pa.record_batch(
+                        [
+                            pa.array([k1.as_py()], pa.int64()), pa.array([k2.as_py()], pa.int64()), pa.array([no], pa.int32()),
+                            pa.array([y == len(s)]), pa.array([s[lo:hi]]), pa.array([x - lo], pa.int32()), pa.array([hi - y], pa.int32())
+                        ],
+                        names=["k1", "k2", "no", "last", "body", "before", "after"],
+                    )
 
     parts = keep.table(giants.mapInArrow(chunks, schema).repartition("k1", "k2", "no"))
 
@@ -280,7 +286,12 @@ def _giant_ids(giants: DataFrame, sent) -> DataFrame:
         m = Pieces(sent.value)
         for b in batches:
             made = [transfer(m, s, x, len(s) - y, no == 0, last) for no, last, s, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 7)))]
-            yield pa.record_batch({"k1": b.column(0), "k2": b.column(1), "no": b.column(2), "matrix": pa.array([x.tobytes() for x in made], pa.binary()), "rows": pa.array([x.shape[0] for x in made], pa.int32()), "cols": pa.array([x.shape[1] for x in made], pa.int32())})
+            yield pa.record_batch(
+                {
+                    "k1": b.column(0), "k2": b.column(1), "no": b.column(2), "matrix": pa.array([x.tobytes() for x in made], pa.binary()),
+                    "rows": pa.array([x.shape[0] for x in made], pa.int32()), "cols": pa.array([x.shape[1] for x in made], pa.int32()),
+                }
+            )
 
     found = _states_of_all(keep.table(parts.mapInArrow(matrices, NODE)), keep)
 

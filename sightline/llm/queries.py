@@ -13,7 +13,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = docs.select("doc_id", "text", F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" ")), 256).alias("sha"))
     made = pieces.decode(pieces.encode(kept, keep=["doc_id", "sha"]))
-    return made.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), (F.sha2(F.coalesce("decoded", F.lit("")), 256) == F.col("sha")).alias("round_trip"))
+    return made.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        (F.sha2(F.coalesce("decoded", F.lit("")), 256) == F.col("sha")).alias("round_trip"),
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text"
         t = t.sort_by([("__y", "ascending"), ("__text", "ascending")])  # sums come out alike, however the rows come in
         m = fit(t.column("__text").combine_chunks(), t.column("__y").to_numpy(), odds)
         rows = [] if m is None else [m]
-        return pa.table({"theta": pa.array([m["theta"].tobytes() for m in rows], pa.binary()), "trans": pa.array([m["trans"].ravel().tolist() for m in rows], pa.list_(pa.float64())), "first": pa.array([m["first"] for m in rows], pa.float64())})
+        return pa.table(
+            {
+                "theta": pa.array([m["theta"].tobytes() for m in rows], pa.binary()),
+                "trans": pa.array([m["trans"].ravel().tolist() for m in rows], pa.list_(pa.float64())),
+                "first": pa.array([m["first"] for m in rows], pa.float64()),
+            }
+        )
 
     got = sample.groupBy("__g").applyInArrow(work, "theta binary, trans array<double>, first double").collect()
     return {"theta": np.frombuffer(got[0]["theta"], np.float32), "trans": np.array(got[0]["trans"]).reshape(2, 2), "first": got[0]["first"]} if got else None

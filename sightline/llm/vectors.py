@@ -266,5 +266,8 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     first = classes.groupBy("cls").agg(F.min("rep").alias("first"))
     known = keep.table(classes.join(first, "cls").join(counts, "num", "left").select("label", "h1", "h2", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")), total)
     joined = named.select("id", "ok", F.when(F.col("ok"), F.col("label")).alias("label"), "h1", "h2").join(known, ["label", "h1", "h2"], "left")
-    out = joined.select(F.col("id").alias("vec_id"), F.coalesce(F.when(F.col("ok"), F.col("links")), F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("ok"), F.col("first")), "id").alias("component_id"))
+    out = joined.select(
+        F.col("id").alias("vec_id"), F.coalesce(F.when(F.col("ok"), F.col("links")), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.when(F.col("ok"), F.col("first")), "id").alias("component_id"),
+    )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
