@@ -142,9 +142,19 @@ def active(layouts: Column, at: Column) -> Column:
 def observe(frames: DataFrame, layouts: DataFrame, stage, schema: str) -> DataFrame:
     """Frames with their active layout's participants, one row each, through a gaze stage (a function for mapInPandas).
 
-    The other side of the join is a recording's few layouts, which Spark broadcasts while they are small; nothing is shuffled after it.
+    The other side of the join is a recording's few layouts, which Spark broadcasts while they are small; the join keeps all frames, so that
+    never the frames are broadcast. Pixels go to Python once for each frame and are shared by its participants there.
     """
-    joined = frames.join(in_order(layouts, ["recording_id"]), "recording_id")
-    seen = joined.withColumn("l", active(F.col("layouts"), F.col("ts"))).filter("l is not null")
-    rows = seen.select("recording_id", "ts", "height", "width", "pixels", F.explode(participants(F.col("l.regions"))).alias("region"))
-    return rows.mapInPandas(stage, schema)
+    joined = frames.join(in_order(layouts, ["recording_id"]), "recording_id", "left")
+    people = participants(active(F.col("layouts"), F.col("ts")).regions)
+    rows = joined.select("recording_id", "ts", "height", "width", "pixels", people.alias("regions"))
+
+    def crops(batches):
+        for pdf in batches:
+            n = [0 if r is None else len(r) for r in pdf["regions"]]
+            each = pdf.drop(columns="regions").loc[pdf.index.repeat(n)].reset_index(drop=True)
+            each["region"] = [x for r in pdf["regions"] if r is not None for x in r]
+            if len(each):
+                yield each
+
+    return rows.mapInPandas(lambda batches: stage(crops(batches)), schema)
