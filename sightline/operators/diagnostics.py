@@ -39,7 +39,8 @@ def by_reason(events: DataFrame) -> DataFrame:
 def shares(events: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """recording_id, top_target, top_target_share, normalized_entropy, self_view_share, unresolved_share.
 
-    support: recording_id, participants - how many there were to look at, which scales the entropy.
+    support: recording_id, participants - how many there were to look at, which scales the entropy. Times that are equal to 9 places are
+    equal, whatever order they were summed in; of targets with equal times the one met first is the top.
     """
     t = events.groupBy("recording_id", "target").agg(
         F.sum(_dur()).alias("d"), F.min("event_no").alias("first"),
@@ -48,7 +49,7 @@ def shares(events: DataFrame, support: DataFrame | None = None) -> DataFrame:
     named = ~F.col("target").isin(*SENTINELS)
     base = t.groupBy("recording_id").agg(
         F.sum("d").alias("all"), F.sum("self").alias("self"), F.sum(F.when(~named, F.col("d")).otherwise(0.0)).alias("unresolved"), F.sum(F.when(named, F.col("d")).otherwise(0.0)).alias("named"),
-        F.max_by(F.when(named, F.struct("target", "d")), F.when(named, F.struct(F.col("d"), -F.col("first")))).alias("top"),
+        F.max_by(F.when(named, F.struct("target", "d")), F.when(named, F.struct(F.round("d", 9), -F.col("first")))).alias("top"),
         F.collect_list(F.when(named & (F.col("d") > 0), F.col("d"))).alias("ds"),
     )
     base = base.join(support, "recording_id", "left") if support is not None else base.withColumn("participants", F.lit(0))

@@ -434,3 +434,12 @@ def test_plan_moves_samples_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+
+
+def test_equal_times_go_to_the_target_met_first(spark):
+    """0.1 + 0.2 is more than 0.3 only by its last bit."""
+    from sightline.operators import diagnostics
+
+    rows = [(0, "v", "early", 0.0, 0.3, 1), (0, "v", "late", 1.0, 1.1, 2), (0, "v", "late", 0.0, 0.2, 3)]
+    made = diagnostics.shares(spark.createDataFrame(rows, "recording_id long, viewer_id string, target string, start_time double, end_time double, event_no long"))
+    assert (1.1 - 1.0) + 0.2 > 0.3 and made.first().top_target == "early"
