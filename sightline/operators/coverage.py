@@ -75,6 +75,7 @@ def degradations(metrics: DataFrame, limits: dict | None = None) -> DataFrame:
     metrics: totals() joined with shares(), centre_mass, uncalibrated (number of viewers) and no_iris (boolean), as far as known.
     """
     k = LIMITS | (limits or {})
+    exact = lambda x: F.round(c(x), 9)  # noqa: E731  # shares are sums in any order: what equals a limit must not pass it by its last bit
     for c, v in (("top_target", None), ("top_target_share", 0.0), ("normalized_entropy", 1.0), ("centre_mass", 0.0), ("self_view_share", 0.0), ("uncalibrated", 0), ("no_iris", False)):
         if c not in metrics.columns:
             metrics = metrics.withColumn(c, F.lit(v).cast("string") if c == "top_target" else F.lit(v))
@@ -104,15 +105,15 @@ def degradations(metrics: DataFrame, limits: dict | None = None) -> DataFrame:
         ),
         ((c("directions") > 0) & (c("events") == 0), "events", "no_events", F.lit("no direction became an event"), "only raw observations are left"),
         (
-            c("top_target_share") > k["top_share"], "results", "concentrated_targets",
+            exact("top_target_share") > k["top_share"], "results", "concentrated_targets",
             say(c("top_target"), F.lit(" has "), pct("top_target_share"), F.lit(" of all time on participants")), "one target may stand for a bias",
         ),
         (
-            c("top_target").isNotNull() & (c("normalized_entropy") < k["entropy"]), "results", "low_target_entropy",
+            c("top_target").isNotNull() & (exact("normalized_entropy") < k["entropy"]), "results", "low_target_entropy",
             say(F.lit("normalised entropy is "), F.format_string("%.2f", c("normalized_entropy"))), "targets hardly differ",
         ),
         (c("centre_mass") > k["centre_mass"], "results", "centre_clustered_gaze", say(pct("centre_mass"), F.lit(" of points lie in the middle")), "estimates may fall back to the centre"),
-        (c("self_view_share") > k["self_view"], "results", "high_self_view", say(pct("self_view_share"), F.lit(" of time is on the viewer's own tile")), "tiles and people may be mixed up"),
+        (exact("self_view_share") > k["self_view"], "results", "high_self_view", say(pct("self_view_share"), F.lit(" of time is on the viewer's own tile")), "tiles and people may be mixed up"),
         (c("uncalibrated") > 0, "mapping", "uncalibrated_viewers", say(c("uncalibrated").cast("string"), F.lit(" viewers keep the prior mapping")), "their targets rest on assumed geometry"),
         (c("no_iris"), "observation", "no_iris_signal", F.lit("the face observer has no iris"), "eye movements are not seen"),
     ]

@@ -443,3 +443,28 @@ def test_equal_times_go_to_the_target_met_first(spark):
     rows = [(0, "v", "early", 0.0, 0.3, 1), (0, "v", "late", 1.0, 1.1, 2), (0, "v", "late", 0.0, 0.2, 3)]
     made = diagnostics.shares(spark.createDataFrame(rows, "recording_id long, viewer_id string, target string, start_time double, end_time double, event_no long"))
     assert (1.1 - 1.0) + 0.2 > 0.3 and made.first().top_target == "early"
+
+
+def test_a_share_that_equals_a_limit_does_not_pass_it(spark):
+    from sightline.operators import coverage
+
+    row = "select 0L as recording_id, 2 as layouts, 12 as participants_detected, array('manifest') as layout_sources, 0 as face_attempts, 0 as face_hits, 0D as face_hit_rate, 9 as directions, 0 as off_screen, 0D as off_screen_rate, 7 as events"
+    m = spark.sql(row + ", 'a' as top_target, 0.1D + 0.2D as top_target_share, 1D as normalized_entropy, 0.1D + 0.2D as self_view_share")
+    assert 0.1 + 0.2 > 0.3 and coverage.degradations(m, {"top_share": 0.3, "self_view": 0.3}).count() == 0
+
+
+def test_confidences_are_summed_in_one_order(spark):
+    """Fixations from the last sample to the first, events from the first fixation to the last, whatever the reasons are."""
+    v = [0.1, 0.7, 0.3, 0.2, 0.6, 0.9, 0.4, 0.3, 0.1, 0.8]
+    rows = [(0, "v", i * 1.0, i * 1.0 + 0.9, "t", c, f"near border: {i % 3}", "m") for i, c in enumerate(v)]
+    made = events.gaze_events(spark.createDataFrame(rows, "recording_id long, viewer_id string, start_time double, end_time double, target string, confidence double, reason string, layout_source string"))
+    w = wc = 0.0
+    for r in rows:
+        w, wc = w + (r[3] - r[2]), wc + (r[3] - r[2]) * r[5]
+    assert [r.confidence for r in made.collect()] == [wc / w]
+    points = [(0, "v", i, i / 10, 0.5, 0.5, c) for i, c in enumerate(v)]
+    found = temporal.detect_fixations(spark.createDataFrame(points, "recording_id long, person_id string, obs_no long, ts double, x double, y double, confidence double"))
+    back = 0.0
+    for c in reversed(v):
+        back += c
+    assert [r.confidence for r in found.collect()] == [back / len(v)]
