@@ -25,16 +25,21 @@ def gaze_events(attributions: DataFrame, least: float = 0.2, gap: float = 0.3) -
     """Attributions of each viewer merged into events; short ones go afterwards, and their neighbours stay apart."""
     by = ["recording_id", "viewer_id"]
     rows = islands(attributions, by, "target", gap, ["end_time", "reason", "confidence", "target"]).withColumn("_w", _weight())
+    # sums in the order of time, whatever the reasons are: a confidence meets edges unrounded
+    upto = Window.partitionBy(*by, "_run", "_split").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_sums", F.struct(F.sum("_w").over(upto).alias("w"), F.sum(F.col("_w") * F.col("confidence")).over(upto).alias("wc")))
     reasons = rows.groupBy(*by, "island", "reason").agg(
-        F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("confidence")).alias("wc"), F.min("start_time").alias("start_time"),
+        F.sum("_w").alias("w"), F.max(F.struct("_pos", "_sums")).alias("upto"), F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"), F.first("target").alias("target"), F.min("_pos").alias("pos"),
         F.min_by("layout_source", "_pos").alias("layout_source")
     )
     merged = reasons.groupBy(*by, "island").agg(
-        F.first("target").alias("target"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), (F.sum("wc") / F.sum("w")).alias("confidence"),
+        F.first("target").alias("target"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.max("upto").alias("upto"),
         F.min_by("layout_source", "pos").alias("layout_source"), F.max_by("reason", F.struct(F.col("w"), -F.col("pos"))).alias("reason"),
     )
-    return merged.filter(F.col("end_time") - F.col("start_time") >= least).drop("island")
+    confidence = F.col("upto._sums.wc") / F.col("upto._sums.w")
+    kept = merged.filter(F.col("end_time") - F.col("start_time") >= least)
+    return kept.select(*by, "target", "start_time", "end_time", confidence.alias("confidence"), "layout_source", "reason")
 
 
 def speaker_segments(flags: DataFrame, cue: str = "highlight", least: float = 0.4, gap: float = 0.5) -> DataFrame:
